@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridlake.llm.bpe import Encoder, Vocabulary, worker_encoder
-from gridlake.llm.common import shared_path
+from gridlake.llm.common import only_ids, shared_path, stage_table
 
 BLOCK_BYTES = 4 << 20
 DICTIONARY_BYTES = 64 << 10
@@ -35,8 +35,10 @@ DOCS_A_SHARD, MOST_SHARDS = 8_192, 20_000
 
 
 def train_dictionary(docs: DataFrame, vocabulary_path: str) -> bytes:
-    rows = docs.where(F.length("text") > 0).select("doc_id", F.left("text", F.lit(8 * SAMPLE_IDS)).alias("t"))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS).collect()
+    ids = docs.where(F.length("text") > 0).select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
+    ids = stage_table(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS), "token-sample")
+    texts = only_ids(docs, ids).join(F.broadcast(ids), "doc_id")
+    rows = texts.groupBy("doc_id").agg(F.min("text").alias("t")).orderBy("doc_id").collect()  # SAMPLE_DOCUMENTS at most
     v = Vocabulary(vocabulary_path)
     e, kind = Encoder(v), "<u2" if v.size <= 1 << 16 else "<u4"
     parts = [np.asarray(e.encode(r.t)[:SAMPLE_IDS], kind).tobytes() for r in rows]
