@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.llm import bpe, decontaminate, licenses, quality, secrets, token_files, toxicity
+from gridlake.llm import bpe, decontaminate, licenses, minhash, quality, secrets, token_files, toxicity
 from gridlake.llm.common import crc_fold, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -53,7 +57,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_toxicity, op3_secrets, op5_quality, op6_licenses, op7_bpe, op9_decontaminate, op10_token_files)
+    f.__name__: f for f in (op1_near_duplicates, op2_toxicity, op3_secrets, op5_quality, op6_licenses, op7_bpe, op9_decontaminate, op10_token_files)
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_secrets": secrets.ORACLE,
