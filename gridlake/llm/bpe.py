@@ -20,6 +20,7 @@ import os
 import re
 import struct
 import tempfile
+import uuid
 from collections import Counter
 from itertools import chain
 
@@ -274,7 +275,7 @@ def ship_lexicon(docs: DataFrame, vocabulary_path: str, size: int = 32_768) -> s
     if not words:
         return None
     data = Lexicon.compile(words)
-    name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin"
+    name = f"lexicon-{uuid.uuid4().hex}.bin"  # a file's name can be registered once in a session
     path = os.path.join(tempfile.mkdtemp(prefix="gridlake-lexicon-"), name)
     with open(path, "wb") as f:
         f.write(data)
