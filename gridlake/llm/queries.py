@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.llm import bpe, decontaminate, licenses, minhash, quality, secrets, token_files, toxicity
+from gridlake.llm import ann, bpe, decontaminate, licenses, line_dedup, minhash, quality, secrets, token_files, toxicity
 from gridlake.llm.common import crc_fold, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +31,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -48,6 +52,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -57,10 +66,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_duplicates, op2_toxicity, op3_secrets, op5_quality, op6_licenses, op7_bpe, op9_decontaminate, op10_token_files)
+    f.__name__: f for f in (op1_near_duplicates, op2_toxicity, op3_secrets, op4_line_dedup, op5_quality, op6_licenses, op7_bpe, op8_nearest, op9_decontaminate, op10_token_files)
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_secrets": secrets.ORACLE,
     "op6_licenses": licenses.ORACLE,
+    "op8_nearest": ann.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
 }

@@ -4,8 +4,9 @@ Texts are folded to 32 symbols (letters without case and accents, space, digit,
 interpolated Kneser-Ney models of order 5, one of toxic and one of ordinary training documents, give
 the log-likelihoods; their difference divided by the length, put through a fitted logistic curve, is
 the score. Both models back off to the same lower orders: continuation counts (distinct left
-neighbours) of all training documents together. Expressions in fewer than MIN_DOCS training documents
-are smoothed through those shared counts alone, so they favour neither class. Counts are of documents
+neighbours) of all training documents together. Expressions in fewer than MIN_DOCS training documents,
+or whose shares of the two classes' documents differ by less than MIN_Z standard errors, are smoothed
+through those shared counts alone, so they favour neither class. Counts are of documents
 (an n-gram counts once in each), and documents of equal text count once, so copies teach nothing twice.
 
 Learning reads only labelled rows of folds 1 to 4 (crc32 of the id as text, mod 5): folds 2 to 4 give
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from gridlake.llm.common import crc_fold, only_ids, stage_table
 
 ORDER, SYMBOLS = 5, 32
-MIN_DOCS = 20
-DISCOUNT, SHARED_WEIGHT = 0.75, 8.0
+MIN_DOCS, MIN_Z = 5, 6.0
+DISCOUNT, SHARED_WEIGHT = 0.75, 2.0
 SPACE = 26
 
 
@@ -72,9 +73,9 @@ def grams(text: str) -> np.ndarray:
     return k
 
 
-def fit_models(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """codes ascending and their document counts (row 0 ordinary, row 1 toxic) to the log ratio
-    toxic : ordinary of each code that enough documents have."""
+def fit_models(codes: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """codes ascending, their document counts (row 0 ordinary, row 1 toxic) and the classes' sizes to
+    the log ratio toxic : ordinary of each code that tells the classes apart."""
     # shared lower orders: continuation counts of all documents together
     levels, held = [], codes
     for _ in range(ORDER - 1):
@@ -97,7 +98,10 @@ def fit_models(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
         weight = DISCOUNT * np.bincount(inv, c > 0)[inv] + SHARED_WEIGHT
         logs.append(np.log((seen + weight * low) / (np.bincount(inv, seen)[inv] + weight)))
     ratio = logs[1] - logs[0]
-    enough = counts.sum(0) >= MIN_DOCS
+    share = counts / np.maximum(sizes, 1)[:, None]
+    pooled = counts.sum(0) / max(sizes.sum(), 1)
+    error = np.sqrt(pooled * (1 - pooled) * (1 / np.maximum(sizes, 1)).sum() + 1e-12)
+    enough = (counts.sum(0) >= MIN_DOCS) & (np.abs(share[1] - share[0]) >= MIN_Z * error)
     return codes[enough].astype(np.int32), ratio[enough].astype(np.float32)
 
 
@@ -190,7 +194,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     counts = np.stack([got.column("n_ord").to_numpy(), got.column("n_tox").to_numpy()])
     if not len(codes) or not counts.sum(1).all():
         return None
-    model = Model(*fit_models(codes, counts), 1.0, 0.0)
+    each = train.where(~F.col("tune")).groupBy("toxic").count().collect()
+    sizes = np.zeros(2)
+    for r in each:
+        sizes[r.toxic] = r["count"]
+    model = Model(*fit_models(codes, counts, sizes), 1.0, 0.0)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     ratio = F.pandas_udf(lambda t: pd.Series([shared.value.ratio(x) for x in t], dtype="float64"), "double")
     tuned = train.where("tune").groupBy(F.round(ratio("text"), 3).alias("bin"), "toxic").count().collect()  # at most 32,000 bins
