@@ -9,13 +9,16 @@ with their first position in the corpus, by document id and place; each match is
 both ways as far as the texts agree, up to the next window. Overlapping matches of a document are one
 run, and a run of RUN_WORDS words or more is deleted; the first copy stays.
 
-Everything moves as hashes and positions. First positions come from map-side sums, so a line that a
-third of all documents hold is summed before it is shuffled, and matched rows are salted where they meet
-it. Windows go over one document's lines alone.
+Everything moves as hashes and positions. Of documents of equal text only the first goes through the
+lines, as all lines of the others repeat. First positions come from map-side sums, so a line that a third
+of all documents hold is summed before it is shuffled, and matched rows are salted where they meet it. As
+a fingerprint is at least as long as a window, the matches of a run overlap and merge, and only the
+run's two ends are compared line by line. Windows go over one document's lines alone.
 
 Null texts stay null, empty ones empty; a document that is wholly repeated becomes empty and keeps its
 row. Null ids sort before others. Rows of equal id and text are treated alike, as one; other rows of equal
-ids are told apart. Extra columns are kept as they are.
+ids are told apart. A blank line counts as one word, a line of over 255 words as 255. Extra columns are
+kept as they are.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from gridlake.llm.common import stage_table
 
-GRAM_WORDS, WINDOW_WORDS, RUN_WORDS = 12, 28, 30
+GRAM_WORDS, WINDOW_WORDS, RUN_WORDS = 20, 20, 30
 SALTS = 16
 #: After a mark or a line feed, or before a space and a capital letter; nothing is lost in the cut.
 CUT = r"(?<=[.!?\n])|(?= \p{Lu})"
@@ -40,72 +43,87 @@ def _words(line: Column) -> Column:
 
 
 def _told(docs: DataFrame, gram: int, window: int) -> DataFrame:
-    """id, row, pos, h, w (words) and at (words before) of every line that is not blank; pick, pos of
-    the selected fingerprint where another than on the line before is selected, else null."""
-    each = docs.where(F.length("text") > 0).select("id", "row", F.posexplode(lines(F.col("text"))).alias("pos", "line"))
-    each = each.select("id", "row", "pos", F.trim("line", F.lit(" \n\t\r")).alias("line")).where("line != ''")
-    each = each.select("id", "row", "pos", F.xxhash64("line").alias("h"), _words(F.col("line")).alias("w"))
+    """id, row, pos, h, at (words before) of every line of documents whose text is the first of its
+    kind; the low byte of h holds the line's words. pick (g, pos, n): the selected fingerprint and its
+    lines, where another than on the line before is selected, else null."""
+    some = docs.where(F.length("text") > 0)
+    first = some.groupBy(F.xxhash64("text").alias("x")).agg(F.min(F.struct("id", "row")).alias("f")).select(F.col("f.row").alias("row"))
+    each = some.select("id", "row", F.posexplode(F.transform(lines(F.col("text")), lambda s: F.trim(s, F.lit(" \n\t\r")))).alias("pos", "line"))
+    words = F.least(_words(F.col("line")), F.lit(255)).cast("long")
+    each = each.select("id", "row", "pos", F.xxhash64("line").bitwiseAND(F.lit(-256)).bitwiseOR(words).alias("h"))
+    each = each.join(first, "row", "left_semi")
     order = Window.partitionBy("row").orderBy("pos")
-    each = each.withColumn("at", (F.sum("w").over(order) - F.col("w")).cast("int"))
+    w = F.col("h").bitwiseAND(F.lit(255))
+    each = each.withColumn("at", (F.sum(w).over(order) - w).cast("int"))
     ahead = Window.partitionBy("row").orderBy("at")
     span = ahead.rangeBetween(0, gram - 1)
-    each = each.withColumns({"g": F.xxhash64(F.collect_list("h").over(span)), "gw": F.sum("w").over(span)})
-    whole = F.when(F.col("gw") >= gram, F.struct("g", "pos"))
-    each = each.withColumn("pick", F.min(whole).over(ahead.rangeBetween(0, window - 1))).drop("g", "gw")
+    each = each.withColumn("hs", F.collect_list("h").over(span))
+    enough = F.aggregate("hs", F.lit(0).cast("long"), lambda s, h: s + h.bitwiseAND(F.lit(255))) >= gram
+    each = each.withColumn("whole", F.when(enough, F.struct(F.xxhash64("hs").alias("g"), F.col("pos"), F.size("hs").alias("n")))).drop("hs")
+    each = each.withColumn("pick", F.min("whole").over(ahead.rangeBetween(0, window - 1))).drop("whole")
     return each.withColumn("pick", F.when(F.coalesce(F.lag("pick").over(ahead) != F.col("pick"), F.lit(True)), F.col("pick")))
 
 
 def repeated_runs(docs: DataFrame, gram: int = GRAM_WORDS, window: int = WINDOW_WORDS, least: int = RUN_WORDS) -> DataFrame:
     """docs has id, row (unique) and text; of equal lines those of the least id, then row, come first.
-    row, first and last (positions of lines) and words of every run to delete."""
+    row, first, last (positions of lines) and words of every run to delete from documents whose text is
+    the first of its kind."""
+    if window > gram:
+        raise ValueError("fingerprints shorter than a window leave gaps between the matches of a run")
     told = stage_table(_told(docs, gram, window), "line-hashes")
-    picked = told.where("pick is not null").select("id", "row", F.col("pick.g").alias("g"), F.col("pick.pos").alias("pos"))
-    first = picked.groupBy("g").agg(F.min(F.struct("id", "row", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    picked = told.where("pick is not null").select("id", "row", F.col("pick.g").alias("g"), F.col("pick.pos").alias("pos"), F.col("pick.n").alias("n"))
+    first = picked.groupBy("g").agg(F.min(F.struct("id", "row", "pos")).alias("f"), F.count("*").alias("k")).where("k > 1")
     first = stage_table(first.select("g", F.col("f.row").alias("row0"), F.col("f.pos").alias("pos0")), "first-places")
     salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     match = picked.withColumn("salt", F.pmod(F.hash("row", "pos"), F.lit(SALTS))).join(salted, ["g", "salt"])
-    match = stage_table(match.where("row != row0 or pos != pos0").select("row", "pos", "row0", "pos0"), "line-matches")
-    return _extend(told, match, gram + window, least)
-
-
-def _extend(told: DataFrame, match: DataFrame, reach: int, least: int) -> DataFrame:
-    """Compares the lines around both ends of each match, as far as one window and fingerprint reach."""
-    seeds = match.select("row", "pos").union(match.select("row0", "pos0")).distinct().withColumn("seed", F.lit(True))
-    rows = seeds.select("row").distinct()
-    local = told.join(rows, "row", "left_semi").join(seeds, ["row", "pos"], "left")
+    match = match.where("row != row0 or pos != pos0").select("row", "pos", "row0", (F.col("pos") - F.col("pos0")).alias("shift"), (F.col("pos") + F.col("n") - 1).alias("end"))
+    # matches of one document with one other, at one shift, that overlap or touch are one piece
+    by = Window.partitionBy("row", "row0", "shift").orderBy("pos")
+    reached = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    match = match.withColumn("new", F.coalesce((F.col("pos") > reached + 1).cast("int"), F.lit(1)))
+    match = match.withColumn("piece", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = match.groupBy("row", "row0", "shift", "piece").agg(F.min("pos").alias("first"), F.max("end").alias("last"))
+    return _extend(told, stage_table(pieces.drop("piece"), "line-matches"), gram + window, least)
+
+
+def _extend(told: DataFrame, pieces: DataFrame, reach: int, least: int) -> DataFrame:
+    """Compares the lines before and after each piece with those of its source, as far as one window and
+    fingerprint reach: beyond them another match would stand."""
+    ends = F.array(F.struct("row", F.col("first").alias("pos")), F.struct("row", F.col("last").alias("pos")),
+                   F.struct(F.col("row0").alias("row"), (F.col("first") - F.col("shift")).alias("pos")), F.struct(F.col("row0").alias("row"), (F.col("last") - F.col("shift")).alias("pos")))
+    marks = pieces.select(F.explode(ends).alias("e")).select("e.row", "e.pos").distinct()
+    marks = marks.groupBy("row").agg(F.collect_list("pos").alias("marks"))  # positions of one document
     w = Window.partitionBy("row").orderBy("at")
-    line = F.struct("h", "w", "pos")
-    around = local.select(
-        "row", "pos", "at", "seed",
-        F.collect_list(line).over(w.rangeBetween(0, reach)).alias("right"),
-        F.collect_list(line).over(w.rangeBetween(-reach, -1)).alias("left"),
-    ).where("seed")
-    around = stage_table(around.drop("seed"), "match-places")
-    here = match.join(around, ["row", "pos"])
-    there = around.select(F.col("row").alias("row0"), F.col("pos").alias("pos0"), F.col("right").alias("right0"), F.col("left").alias("left0"))
-    both = here.join(there, ["row0", "pos0"])
-
-    def same(a: str, b: str, back: bool) -> tuple[Column, Column]:
-        """How many lines agree from the match on, and their words."""
-        x, y = (F.reverse(a), F.reverse(b)) if back else (F.col(a), F.col(b))
-        differ = F.zip_with(x, y, lambda p, q: F.coalesce(p["h"] == q["h"], F.lit(False)))
-        bad = F.array_position(differ, False)
-        n = F.when(bad == 0, F.size(differ)).otherwise(bad.cast("int") - 1)
-        taken = F.slice(x, F.lit(1), n)
-        return taken, F.aggregate(taken, F.lit(0), lambda s, p: s + p["w"])
-
-    right, rw = same("right", "right0", False)
-    left, lw = same("left", "left0", True)
-    spans = both.select(
-        "row",
-        F.coalesce(F.get(left, F.size(left) - 1)["pos"], F.col("pos")).alias("first"),
-        F.get(right, F.size(right) - 1)["pos"].alias("last"),
-        (F.col("at") - lw).alias("from"),
-        (F.col("at") + rw).alias("to"),
+    around = told.select("row", "pos", "at", "h").join(marks, "row")
+    around = around.withColumns({"right": F.collect_list("h").over(w.rangeBetween(1, reach + 255)), "left": F.collect_list("h").over(w.rangeBetween(-reach, -1))})
+    around = around.where(F.array_contains("marks", F.col("pos"))).select("row", "pos", "at", "left", "right", F.col("h").bitwiseAND(F.lit(255)).alias("w"))
+    around = stage_table(around, "match-places")
+
+    def context(row: str, pos: str, take: str, name: str, at: str | None = None) -> DataFrame:
+        more = [(F.col("at") if at == "from" else F.col("at") + F.col("w")).alias(at)] if at else []
+        return around.select(F.col("row").alias(row), F.col("pos").alias(pos), F.col(take).alias(name), *more)
+
+    both = (
+        pieces.withColumns({"first0": F.col("first") - F.col("shift"), "last0": F.col("last") - F.col("shift")})
+        .join(context("row", "first", "left", "a", "from"), ["row", "first"])
+        .join(context("row", "last", "right", "b", "to"), ["row", "last"])
+        .join(context("row0", "first0", "left", "a0"), ["row0", "first0"])
+        .join(context("row0", "last0", "right", "b0"), ["row0", "last0"])
     )
+
+    def same(x: Column, y: Column) -> tuple[Column, Column]:
+        """How many lines agree from the start on, and their words."""
+        agree = F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False)))
+        bad = F.array_position(agree, False)
+        n = F.when(bad == 0, F.size(agree)).otherwise(bad.cast("int") - 1)
+        return n, F.aggregate(F.slice(x, F.lit(1), n), F.lit(0).cast("long"), lambda s, h: s + h.bitwiseAND(F.lit(255)))
+
+    before, before_words = same(F.reverse("a"), F.reverse("a0"))
+    after, after_words = same(F.col("b"), F.col("b0"))
+    spans = both.select("row", (F.col("first") - before).alias("first"), (F.col("last") + after).alias("last"), (F.col("from") - before_words).alias("from"), (F.col("to") + after_words).alias("to"))
     by = Window.partitionBy("row").orderBy("from", "to")
-    before = F.max("to").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    runs = spans.withColumn("new", F.coalesce((F.col("from") > before).cast("int"), F.lit(1)))
+    reached = F.max("to").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    runs = spans.withColumn("new", F.coalesce((F.col("from") > reached).cast("int"), F.lit(1)))
     runs = runs.withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     runs = runs.groupBy("row", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), (F.max("to") - F.min("from")).alias("words"))
     return runs.where(F.col("words") >= least).select("row", "first", "last", "words")
@@ -118,9 +136,16 @@ def dedup_lines(
     words taken out)."""
     row = F.xxhash64(F.col(id_col), F.col(text_col))  # rows of equal id and text are treated alike
     own = docs.select(F.col(id_col).cast("long").alias("id"), row.alias("row"), F.col(text_col).alias("text"))
-    runs = repeated_runs(own, gram, window, least)
-    gone = runs.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("__runs"), F.sum("words").cast("long").alias("__words"))
-    out = docs.withColumn("row", row).join(gone, "row", "left")
+    runs = repeated_runs(own, gram, window, least).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("__runs"), F.sum("words").cast("long").alias("__words"))
+    # later copies of a whole text: all of it goes, if it is as long as a run
+    some = own.where(F.length("text") > 0)
+    copies = some.groupBy(F.xxhash64("text").alias("x")).agg(F.min(F.struct("id", "row")).alias("f"), F.count("*").alias("k")).where("k > 1")
+    copies = stage_table(copies.select("x", F.col("f.row").alias("row0")), "first-texts").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    later = some.select("row", F.xxhash64("text").alias("x"), F.pmod(F.hash("row"), F.lit(SALTS)).alias("salt"), _words(F.trim("text")).alias("__words"))
+    later = later.join(copies, ["x", "salt"]).where(f"row != row0 and __words >= {least}")
+    whole = F.array(F.struct(F.lit(0).alias("first"), F.lit(2147483647).alias("last")))
+    gone = stage_table(runs.union(later.select("row", whole, F.col("__words").cast("long"))).dropDuplicates(["row"]), "runs")
+    out = docs.withColumn("__row", row).join(gone.withColumnRenamed("row", "__row"), "__row", "left")
     kept = F.filter(lines(F.col(text_col)), lambda s, i: ~F.exists("__runs", lambda r: (i >= r["first"]) & (i <= r["last"])))
     text = F.when(F.col("__runs").isNull(), F.col(text_col)).otherwise(F.array_join(kept, ""))
     return out.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), F.coalesce("__words", F.lit(0).cast("long")).alias("n_removed"))
