@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from gridlake.plans.common import Query
 
-def all_queries() -> dict:
-    return {}
+
+def all_queries() -> dict[str, Query]:
+    from gridlake.plans import image_queries
+
+    return image_queries.Q
