@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from gridlake.llm.common import LOWER, only_ids, stage_table
 from gridlake.llm.components import components
 
-BINS, BANDS, ROWS = 128, 32, 4
+BINS, BANDS, ROWS = 512, 64, 8
 SALTS = 16
 MEMO_ENTRIES = 400_000
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
