@@ -2,23 +2,24 @@
 
 A line is a piece of text up to a line feed, a full stop or similar mark, or the next capitalised word,
 so that a passage inserted inside a longer line has lines of its own. Fingerprints are hashes of the
-shortest sequences of lines that have GRAM_WORDS words. Of the fingerprints that begin within
-WINDOW_WORDS words the least is selected; two texts that share GRAM_WORDS + WINDOW_WORDS - 1 words or
-more in whole lines select the same one there (winnowing's guarantee). Selected fingerprints are joined
-with their first position in the corpus, by document id and place; each match is extended line by line
-both ways as far as the texts agree, up to the next window. Overlapping matches of a document are one
-run, and a run of RUN_WORDS words or more is deleted; the first copy stays.
-
-Everything moves as hashes and positions. Of documents of equal text only the first goes through the
-lines, as all lines of the others repeat. First positions come from map-side sums, so a line that a third
-of all documents hold is summed before it is shuffled, and matched rows are salted where they meet it. As
-a fingerprint is at least as long as a window, the matches of a run overlap and merge, and only the
-run's two ends are compared line by line. Windows go over one document's lines alone.
+shortest sequences of lines that have GRAM_WORDS words. Of the fingerprints that begin within the lines
+of one such sequence the least is selected, so two texts that share 2 * GRAM_WORDS words in whole lines
+and a line more select the same one there (winnowing's guarantee), and selected fingerprints that follow
+one another overlap or touch. They are joined with their first position in the corpus, by document id and
+place; matches of a document that overlap or touch are one run, whose two ends are extended line by line
+as far as the texts agree. A run of RUN_WORDS words or more is deleted; the first copy stays.
+
+Lines never leave their document's row: a document is an array of line hashes, and what is moved are
+these arrays, once by document, and selected fingerprints. Of documents of equal text only the first goes
+through the lines, as all lines of the others repeat. First positions come from map-side sums, so a line
+that a third of all documents hold is summed before it is shuffled, and matched rows are salted where
+they meet it. Runs are broadcast to the texts where there are no more than BROADCAST_RUNS documents with
+runs, else the texts are shuffled to them.
 
 Null texts stay null, empty ones empty; a document that is wholly repeated becomes empty and keeps its
 row. Null ids sort before others. Rows of equal id and text are treated alike, as one; other rows of equal
 ids are told apart. A blank line counts as one word, a line of over 255 words as 255. Extra columns are
-kept as they are.
+kept as they are. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,10 +29,11 @@ from pyspark.sql import functions as F
 
 from gridlake.llm.common import stage_table
 
-GRAM_WORDS, WINDOW_WORDS, RUN_WORDS = 20, 20, 30
+GRAM_WORDS, RUN_WORDS = 12, 30
 SALTS = 16
-#: After a mark or a line feed, or before a space and a capital letter; nothing is lost in the cut.
-CUT = r"(?<=[.!?\n])|(?= \p{Lu})"
+BROADCAST_RUNS = 500_000
+#: After marks or line feeds, or before a space and a capital letter; nothing is lost in the cut.
+CUT = r"(?<=[.!?\n])(?![.!?\n])|(?= \p{Lu})"
 
 
 def lines(text: Column) -> Column:
@@ -42,101 +44,107 @@ def _words(line: Column) -> Column:
     return F.length(line) - F.length(F.translate(line, " ", "")) + 1
 
 
-def _told(docs: DataFrame, gram: int, window: int) -> DataFrame:
-    """id, row, pos, h, at (words before) of every line of documents whose text is the first of its
-    kind; the low byte of h holds the line's words. pick (g, pos, n): the selected fingerprint and its
-    lines, where another than on the line before is selected, else null."""
+def _size(h: Column) -> Column:
+    """Words of a line, which the low byte of its hash holds."""
+    return h.bitwiseAND(F.lit(255))
+
+
+def _reach(hs: Column, words: int, whole: bool) -> Column:
+    """How many lines of hs, from the first on, it takes to have so many words. If there are fewer words:
+    null if the words must be whole, else all lines."""
+    step = lambda s, h: F.struct((s["w"] + _size(h)).alias("w"), (s["n"] + F.when(s["w"] < words, 1).otherwise(0)).alias("n"))
+    end = (lambda s: F.when(s["w"] >= words, s["n"])) if whole else (lambda s: s["n"])
+    return F.aggregate(hs, F.struct(F.lit(0).cast("long").alias("w"), F.lit(0).alias("n")), step, end)
+
+
+def _told(docs: DataFrame, gram: int) -> DataFrame:
+    """row, id, hs (line hashes) and prints (g, pos, n: the selected fingerprints and their lines) of the
+    documents whose text is the first of its kind."""
     some = docs.where(F.length("text") > 0)
     first = some.groupBy(F.xxhash64("text").alias("x")).agg(F.min(F.struct("id", "row")).alias("f")).select(F.col("f.row").alias("row"))
-    each = some.select("id", "row", F.posexplode(F.transform(lines(F.col("text")), lambda s: F.trim(s, F.lit(" \n\t\r")))).alias("pos", "line"))
-    words = F.least(_words(F.col("line")), F.lit(255)).cast("long")
-    each = each.select("id", "row", "pos", F.xxhash64("line").bitwiseAND(F.lit(-256)).bitwiseOR(words).alias("h"))
-    each = each.join(first, "row", "left_semi")
-    order = Window.partitionBy("row").orderBy("pos")
-    w = F.col("h").bitwiseAND(F.lit(255))
-    each = each.withColumn("at", (F.sum(w).over(order) - w).cast("int"))
-    ahead = Window.partitionBy("row").orderBy("at")
-    span = ahead.rangeBetween(0, gram - 1)
-    each = each.withColumn("hs", F.collect_list("h").over(span))
-    enough = F.aggregate("hs", F.lit(0).cast("long"), lambda s, h: s + h.bitwiseAND(F.lit(255))) >= gram
-    each = each.withColumn("whole", F.when(enough, F.struct(F.xxhash64("hs").alias("g"), F.col("pos"), F.size("hs").alias("n")))).drop("hs")
-    each = each.withColumn("pick", F.min("whole").over(ahead.rangeBetween(0, window - 1))).drop("whole")
-    return each.withColumn("pick", F.when(F.coalesce(F.lag("pick").over(ahead) != F.col("pick"), F.lit(True)), F.col("pick")))
-
-
-def repeated_runs(docs: DataFrame, gram: int = GRAM_WORDS, window: int = WINDOW_WORDS, least: int = RUN_WORDS) -> DataFrame:
+
+    def hashed(line: Column) -> Column:
+        s = F.trim(line, F.lit(" \n\t\r"))
+        return F.xxhash64(s).bitwiseAND(F.lit(-256)).bitwiseOR(F.least(_words(s), F.lit(255)).cast("long"))
+
+    hs = some.select("id", "row", F.transform(lines(F.col("text")), hashed).alias("hs"))
+    told = hs.join(first, "row", "left_semi").dropDuplicates(["row"])
+    # every line has a word at least, so the next gram lines are enough
+    told = told.withColumn("ns", F.transform("hs", lambda h, i: _reach(F.slice("hs", i + 1, F.lit(gram)), gram, True)))
+    told = told.withColumn("gs", F.transform("ns", lambda n, i: F.when(n.isNotNull(), F.xxhash64(F.slice("hs", i + 1, F.coalesce(n, F.lit(1)))))))
+    window = lambda n, i: F.slice("gs", i + 1, F.coalesce(n, F.lit(1)))
+    least = F.transform("ns", lambda n, i: i + F.array_position(window(n, i), F.array_min(window(n, i))).cast("int"))
+    told = told.withColumn("picks", F.array_compact(F.array_distinct(least)))
+    prints = F.transform("picks", lambda p: F.struct(F.element_at("gs", p).alias("g"), (p - 1).alias("pos"), F.element_at("ns", p).alias("n")))
+    return told.select("row", "id", "hs", prints.alias("prints"))
+
+
+def repeated_runs(docs: DataFrame, gram: int = GRAM_WORDS, least: int = RUN_WORDS) -> DataFrame:
     """docs has id, row (unique) and text; of equal lines those of the least id, then row, come first.
     row, first, last (positions of lines) and words of every run to delete from documents whose text is
     the first of its kind."""
-    if window > gram:
-        raise ValueError("fingerprints shorter than a window leave gaps between the matches of a run")
-    told = stage_table(_told(docs, gram, window), "line-hashes")
-    picked = told.where("pick is not null").select("id", "row", F.col("pick.g").alias("g"), F.col("pick.pos").alias("pos"), F.col("pick.n").alias("n"))
+    told = stage_table(_told(docs, gram), "line-hashes")
+    picked = told.select("id", "row", F.inline("prints"))
     first = picked.groupBy("g").agg(F.min(F.struct("id", "row", "pos")).alias("f"), F.count("*").alias("k")).where("k > 1")
     first = stage_table(first.select("g", F.col("f.row").alias("row0"), F.col("f.pos").alias("pos0")), "first-places")
     salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     match = picked.withColumn("salt", F.pmod(F.hash("row", "pos"), F.lit(SALTS))).join(salted, ["g", "salt"])
-    match = match.where("row != row0 or pos != pos0").select("row", "pos", "row0", (F.col("pos") - F.col("pos0")).alias("shift"), (F.col("pos") + F.col("n") - 1).alias("end"))
-    # matches of one document with one other, at one shift, that overlap or touch are one piece
-    by = Window.partitionBy("row", "row0", "shift").orderBy("pos")
+    match = match.where("row != row0 or pos != pos0").select("row", "pos", (F.col("pos") + F.col("n") - 1).alias("end"), "row0", (F.col("pos") - F.col("pos0")).alias("shift"))
+    by = Window.partitionBy("row").orderBy("pos")
     reached = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     match = match.withColumn("new", F.coalesce((F.col("pos") > reached + 1).cast("int"), F.lit(1)))
-    match = match.withColumn("piece", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    pieces = match.groupBy("row", "row0", "shift", "piece").agg(F.min("pos").alias("first"), F.max("end").alias("last"))
-    return _extend(told, stage_table(pieces.drop("piece"), "line-matches"), gram + window, least)
-
-
-def _extend(told: DataFrame, pieces: DataFrame, reach: int, least: int) -> DataFrame:
-    """Compares the lines before and after each piece with those of its source, as far as one window and
-    fingerprint reach: beyond them another match would stand."""
-    ends = F.array(F.struct("row", F.col("first").alias("pos")), F.struct("row", F.col("last").alias("pos")),
-                   F.struct(F.col("row0").alias("row"), (F.col("first") - F.col("shift")).alias("pos")), F.struct(F.col("row0").alias("row"), (F.col("last") - F.col("shift")).alias("pos")))
-    marks = pieces.select(F.explode(ends).alias("e")).select("e.row", "e.pos").distinct()
-    marks = marks.groupBy("row").agg(F.collect_list("pos").alias("marks"))  # positions of one document
-    w = Window.partitionBy("row").orderBy("at")
-    around = told.select("row", "pos", "at", "h").join(marks, "row")
-    around = around.withColumns({"right": F.collect_list("h").over(w.rangeBetween(1, reach + 255)), "left": F.collect_list("h").over(w.rangeBetween(-reach, -1))})
-    around = around.where(F.array_contains("marks", F.col("pos"))).select("row", "pos", "at", "left", "right", F.col("h").bitwiseAND(F.lit(255)).alias("w"))
-    around = stage_table(around, "match-places")
+    match = match.withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = match.groupBy("row", "run").agg(F.min(F.struct("pos", "row0", "shift")).alias("a"), F.max(F.struct(F.col("end").alias("pos"), "row0", "shift")).alias("b"))
+    return _extend(told, stage_table(runs.select("row", "run", "a", "b"), "line-runs"), gram, least)
+
+
+def _extend(told: DataFrame, runs: DataFrame, gram: int, least: int) -> DataFrame:
+    """Compares the lines before and after each run with those of its sources, as far as two fingerprints
+    reach: beyond them another match would stand."""
+
+    def ends(side: str, back: bool) -> DataFrame:
+        e = F.col(side)
+        return runs.select("row", "run", e["pos"].alias("pos"), e["row0"].alias("row0"), (e["pos"] - e["shift"]).alias("pos0"), F.lit(back).alias("back"))
 
-    def context(row: str, pos: str, take: str, name: str, at: str | None = None) -> DataFrame:
-        more = [(F.col("at") if at == "from" else F.col("at") + F.col("w")).alias(at)] if at else []
-        return around.select(F.col("row").alias(row), F.col("pos").alias(pos), F.col(take).alias(name), *more)
-
-    both = (
-        pieces.withColumns({"first0": F.col("first") - F.col("shift"), "last0": F.col("last") - F.col("shift")})
-        .join(context("row", "first", "left", "a", "from"), ["row", "first"])
-        .join(context("row", "last", "right", "b", "to"), ["row", "last"])
-        .join(context("row0", "first0", "left", "a0"), ["row0", "first0"])
-        .join(context("row0", "last0", "right", "b0"), ["row0", "last0"])
-    )
-
-    def same(x: Column, y: Column) -> tuple[Column, Column]:
-        """How many lines agree from the start on, and their words."""
-        agree = F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False)))
-        bad = F.array_position(agree, False)
-        n = F.when(bad == 0, F.size(agree)).otherwise(bad.cast("int") - 1)
-        return n, F.aggregate(F.slice(x, F.lit(1), n), F.lit(0).cast("long"), lambda s, h: s + h.bitwiseAND(F.lit(255)))
-
-    before, before_words = same(F.reverse("a"), F.reverse("a0"))
-    after, after_words = same(F.col("b"), F.col("b0"))
-    spans = both.select("row", (F.col("first") - before).alias("first"), (F.col("last") + after).alias("last"), (F.col("from") - before_words).alias("from"), (F.col("to") + after_words).alias("to"))
-    by = Window.partitionBy("row").orderBy("from", "to")
-    reached = F.max("to").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    runs = spans.withColumn("new", F.coalesce((F.col("from") > reached).cast("int"), F.lit(1)))
-    runs = runs.withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.groupBy("row", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), (F.max("to") - F.min("from")).alias("words"))
-    return runs.where(F.col("words") >= least).select("row", "first", "last", "words")
-
-
-def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM_WORDS, window: int = WINDOW_WORDS, least: int = RUN_WORDS
-) -> DataFrame:
+    each = ends("a", True).union(ends("b", False))
+    marks = each.select("row", "pos", "back").union(each.select(F.col("row0").alias("row"), F.col("pos0").alias("pos"), "back")).distinct()
+    marks = marks.groupBy("row").agg(F.collect_list(F.struct("pos", "back")).alias("marks"))  # places of one document
+    most = 2 * gram
+
+    def context(m: Column) -> Column:
+        size = F.least(m["pos"], F.lit(most))
+        before = F.reverse(F.slice("hs", m["pos"] - size + 1, size))
+        return F.when(m["back"], before).otherwise(F.slice("hs", m["pos"] + 2, F.lit(most)))
+
+    around = told.select("row", "hs").join(marks, "row")
+    around = around.select("row", F.inline(F.transform("marks", lambda m: F.struct(m["pos"].alias("pos"), m["back"].alias("back"), context(m).alias("near")))))
+    around = around.select("row", "pos", "back", F.slice("near", F.lit(1), _reach(F.col("near"), most, False)).alias("near"))
+    around = stage_table(around, "match-places")
+    own = around.withColumnRenamed("near", "a")
+    source = around.select(F.col("row").alias("row0"), F.col("pos").alias("pos0"), "back", F.col("near").alias("b"))
+    both = each.join(own, ["row", "pos", "back"]).join(source, ["row0", "pos0", "back"])
+    agree = F.zip_with("a", "b", lambda p, q: F.coalesce(p == q, F.lit(False)))
+    bad = F.array_position(agree, False)
+    more = both.select("row", "run", "back", F.when(bad == 0, F.size(agree)).otherwise(bad.cast("int") - 1).alias("more"))
+    more = more.groupBy("row", "run").agg(F.max(F.when(F.col("back"), F.col("more"))).alias("before"), F.max(F.when(~F.col("back"), F.col("more"))).alias("after"))
+    spans = runs.join(more, ["row", "run"]).select("row", (F.col("a.pos") - F.col("before")).alias("first"), (F.col("b.pos") + F.col("after")).alias("last"))
+    by = Window.partitionBy("row").orderBy("first", "last")
+    reached = F.max("last").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("new", F.coalesce((F.col("first") > reached + 1).cast("int"), F.lit(1)))
+    spans = spans.withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.groupBy("row", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    sized = spans.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans")).join(told.select("row", "hs"), "row")
+    words = lambda s: F.aggregate(F.slice("hs", s["first"] + 1, s["last"] - s["first"] + 1), F.lit(0).cast("long"), lambda n, h: n + _size(h))
+    sized = sized.select("row", F.inline(F.transform("spans", lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), words(s).alias("words")))))
+    return sized.where(F.col("words") >= least)
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM_WORDS, least: int = RUN_WORDS) -> DataFrame:
     """Every row and column of docs with later repeated runs taken out of the text, and n_removed (the
     words taken out)."""
     row = F.xxhash64(F.col(id_col), F.col(text_col))  # rows of equal id and text are treated alike
     own = docs.select(F.col(id_col).cast("long").alias("id"), row.alias("row"), F.col(text_col).alias("text"))
-    runs = repeated_runs(own, gram, window, least).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("__runs"), F.sum("words").cast("long").alias("__words"))
+    runs = repeated_runs(own, gram, least).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("__runs"), F.sum("words").cast("long").alias("__words"))
     # later copies of a whole text: all of it goes, if it is as long as a run
     some = own.where(F.length("text") > 0)
     copies = some.groupBy(F.xxhash64("text").alias("x")).agg(F.min(F.struct("id", "row")).alias("f"), F.count("*").alias("k")).where("k > 1")
@@ -144,8 +152,10 @@ def dedup_lines(
     later = some.select("row", F.xxhash64("text").alias("x"), F.pmod(F.hash("row"), F.lit(SALTS)).alias("salt"), _words(F.trim("text")).alias("__words"))
     later = later.join(copies, ["x", "salt"]).where(f"row != row0 and __words >= {least}")
     whole = F.array(F.struct(F.lit(0).alias("first"), F.lit(2147483647).alias("last")))
-    gone = stage_table(runs.union(later.select("row", whole, F.col("__words").cast("long"))).dropDuplicates(["row"]), "runs")
-    out = docs.withColumn("__row", row).join(gone.withColumnRenamed("row", "__row"), "__row", "left")
+    gone = stage_table(runs.union(later.select("row", whole, F.col("__words").cast("long"))).dropDuplicates(["row"]), "runs").withColumnRenamed("row", "__row")
+    if gone.count() <= BROADCAST_RUNS:
+        gone = F.broadcast(gone)
+    out = docs.withColumn("__row", row).join(gone, "__row", "left")
     kept = F.filter(lines(F.col(text_col)), lambda s, i: ~F.exists("__runs", lambda r: (i >= r["first"]) & (i <= r["last"])))
     text = F.when(F.col("__runs").isNull(), F.col(text_col)).otherwise(F.array_join(kept, ""))
     return out.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), F.coalesce("__words", F.lit(0).cast("long")).alias("n_removed"))
