@@ -1,0 +1,65 @@
+"""The pipeline's stages, each against what it has to do, on planted documents and the smallest table."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from test_line_dedup import prose
+
+
+def test_stages_are_in_order():
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontamination", "bpe"]
+
+
+def test_stages_on_the_smallest_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, sizes = docs.dtypes, [docs.count()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, sf_dir).toPandas().astype({"n_chars": "Int64"}).to_dict("records"), docs.schema)
+        assert docs.dtypes == columns, name
+        sizes.append(docs.count())
+    assert sizes[2] == sizes[1] and sizes[4] == sizes[3]  # these two change texts alone
+    assert 0.5 * sizes[0] < sizes[-1] <= sizes[0]
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert out.count() == sizes[-1] and {"doc_id", "n_tokens", "ids"} <= set(out.columns)
+
+
+def test_run_equals_its_stages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = corpus_pipeline.run(spark, sf_dir)
+    assert 0 < got.count() <= docs.count()
+    assert got.select("doc_id").distinct().count() == got.count()
+
+
+@pytest.fixture
+def planted(spark):
+    rng = random.Random(21)
+    texts = {i: prose(rng, 14) for i in range(40)}
+    texts[50] = texts[3]  # a copy
+    words = texts[4].split()
+    words[5] = "changed"
+    texts[51] = " ".join(words)  # a near copy
+    texts[52] = None
+    texts[53] = ""
+    return texts, spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_near_dedup_keeps_one_of_each_group(spark, planted, sf_dir):
+    texts, docs = planted
+    kept = {r.doc_id for r in corpus_pipeline.one_of_near_copies(spark, docs, sf_dir).collect()}
+    assert kept == set(texts) - {50} - ({51} if 51 not in kept else set())
+    assert 50 not in kept
+
+
+def test_line_dedup_counts_characters_anew(spark, planted, sf_dir):
+    _, docs = planted
+    out = {r.doc_id: r for r in corpus_pipeline.dedup_lines(spark, docs, sf_dir).collect()}
+    assert all(r.n_chars == len(r.text) for r in out.values() if r.text is not None)
+    assert out[50].text == "" and out[3].text
+
+
+def test_toxicity_rejects_whole_rows_only(spark, planted, sf_dir):
+    texts, docs = planted
+    out = corpus_pipeline.reject_toxic(spark, docs, sf_dir).collect()
+    assert all(r.text == texts[r.doc_id] for r in out)
