@@ -3,13 +3,15 @@
 A document's set holds its distinct word shingles. Documents of equal sets form a class at once and the
 class goes on as its smallest id. One hash of each shingle fills BINS bins (one permutation); an empty
 bin borrows from a bin that its own probe sequence meets (optimal densification). Bands of ROWS bins
-make buckets. In a bucket only star edges are drawn, from its smallest document, so candidates are
-linear in the bucket's size; each is confirmed on the full sets. Where a bucket then still holds
-several components, further members become centres, more in each round, until every pair of different
-components in a bucket has been tried: no cap stands on partners or bucket sizes.
+make buckets. In a bucket only star edges are drawn, from its smallest document, its anchor, so
+candidates are linear in the bucket's size; each is confirmed on the full sets. At first a document is
+held against one anchor, the least of its buckets, then against those that are still in other
+components. Where a bucket then still holds several components, further members become centres, more in
+each round, until every pair of different components in a bucket has been tried: no cap stands on
+partners or bucket sizes.
 
-The signature finds a pair of similarity 0.8 in some band with probability 1 - (1 - 0.8^4)^32, above
-1 - 10^-7. What is moved are signatures, ids and the sets of documents that have candidates.
+The signature finds a pair of similarity 0.8 in some band with probability 1 - (1 - 0.8^8)^64, above
+1 - 10^-5, and of similarity 0.85 with more than 1 - 10^-8. What is moved are signatures, ids and the sets of documents that have candidates.
 
 Null or wordless texts have an empty set and no links. A document of fewer words than a shingle has one
 shingle, the whole sequence. Null ids take no part: their component is null and they are kept. Repeated
@@ -163,16 +165,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     classes = stage_table(known.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "set-classes")
     reps = known.join(classes.select("set_key", F.col("rep").alias("doc_id")), ["doc_id", "set_key"]).dropDuplicates(["doc_id", "set_key"])
     reps = reps.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
-    multi = reps.groupBy("bucket").agg(F.count("*").alias("size"), F.min("doc_id").alias("anchor")).where("size > 1 and anchor is not null")
-    multi = stage_table(multi, "buckets").select("bucket", "anchor", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    least = F.min(F.struct("doc_id", "n_shingles"))
+    multi = reps.groupBy("bucket").agg(F.count("*").alias("size"), least.alias("f")).where("size > 1 and f is not null")
+    multi = multi.select("bucket", F.col("f.doc_id").alias("anchor"), F.col("f.n_shingles").alias("m"))
+    multi = stage_table(multi, "buckets").select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salt = F.pmod(F.hash("doc_id"), F.lit(SALTS)).alias("salt")
     members = stage_table(reps.select("*", salt).join(multi, ["bucket", "salt"]).drop("salt"), "members")
     # a set of one size can reach the similarity with sets of similar sizes only
-    fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    sizes = members.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n")).distinct()
-    stars = members.where("doc_id != anchor").select(F.col("anchor").alias("a"), F.col("doc_id").alias("b"), F.col("n_shingles").alias("n")).distinct()
-    stars = stars.join(sizes.select(F.col("b").alias("a"), F.col("n").alias("m")), "a").where(fits).select("a", "b").distinct()
-    tried = stage_table(stars, "pairs")
+    fits = f"100 * least(n_shingles, m) >= {percent} * greatest(n_shingles, m)"
+    # one edge a document at first: to the least anchor of all its buckets
+    stars = members.where("doc_id != anchor").where(fits).groupBy("doc_id").agg(F.min("anchor").alias("a"))
+    tried = stage_table(stars.select("a", F.col("doc_id").alias("b")), "pairs")
     sets = stage_table(_sets(only_ids(docs, members.select("doc_id").distinct()), size).dropDuplicates(["doc_id"]), "sets")
     links = stage_table(confirm(tried, sets, percent), "links")
     label = components(links)
@@ -189,23 +192,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
 
 def _further(members, sets, tried, links, label, percent: int, fits: str):
-    """Tries the pairs of different components that stars from the smallest document left out."""
-    last = members.select("bucket", F.col("anchor").alias("last")).distinct()
-    last, centres = stage_table(last, "centres"), 2
-    label = stage_table(label, "labels")
+    """Tries the pairs of different components of a bucket that are left: from each bucket's anchor first,
+    then from more centres in each round."""
+    last = stage_table(members.select("bucket", F.col("anchor").alias("last")).distinct(), "centres")
+    label, centres = stage_table(label, "labels"), 0
     while True:
         one = label.select(F.col("node").alias("doc_id"), "component")
         named = members.join(one, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k")).where("lo != hi and k > 2")
-        open_ = named.join(mixed.select("bucket"), "bucket").join(last, "bucket")
-        at_anchor = named.where("doc_id = anchor").select("bucket", F.col("component").alias("home")).distinct()
-        open_ = stage_table(open_.join(at_anchor, "bucket"), "open")
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id"))
-        chosen = open_.where("component != home and doc_id > last").withColumn("rank", rank).where(F.col("rank") <= centres)
+        mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k"))
+        mixed = mixed.where("lo != hi" + " and k > 2" * (centres > 0)).select("bucket")
+        home = named.where("doc_id = anchor").select("bucket", F.col("component").alias("home")).distinct()
+        open_ = stage_table(named.join(mixed, "bucket").join(last, "bucket").join(home, "bucket").drop("m"), "open")
+        if centres:
+            rank = F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id"))
+            chosen = open_.where("component != home and doc_id > last").withColumn("rank", rank).where(F.col("rank") <= centres)
+            partners = open_.where("doc_id != anchor")  # all have been tried from it
+        else:
+            chosen, partners = open_.where("doc_id = anchor"), open_
         chosen = stage_table(chosen.select("bucket", F.col("doc_id").alias("a"), F.col("n_shingles").alias("m"), F.col("component").alias("own")), "chosen")
         if not chosen.take(1):
-            return label, links
-        pairs = open_.where("doc_id != anchor").join(chosen, "bucket").where("component != own and doc_id != a").withColumn("n", F.col("n_shingles")).where(fits)
+            if centres:
+                return label, links
+            centres = 2
+            continue
+        pairs = partners.join(chosen, "bucket").where("component != own and doc_id != a").where(fits)
         pairs = pairs.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
         fresh = stage_table(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if fresh.take(1):
@@ -216,4 +226,4 @@ def _further(members, sets, tried, links, label, percent: int, fits: str):
                 label = stage_table(components(links), "labels")
         last = last.join(chosen.groupBy("bucket").agg(F.max("a").alias("to")), "bucket", "left").select("bucket", F.coalesce("to", "last").alias("last"))
         last = stage_table(last, "centres")
-        centres *= 4
+        centres = 4 * centres or 2
