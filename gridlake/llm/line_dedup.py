@@ -41,7 +41,7 @@ def lines(text: Column) -> Column:
 
 
 def _words(line: Column) -> Column:
-    return F.length(line) - F.length(F.translate(line, " ", "")) + 1
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
 def _size(h: Column) -> Column:
@@ -52,9 +52,11 @@ def _size(h: Column) -> Column:
 def _reach(hs: Column, words: int, whole: bool) -> Column:
     """How many lines of hs, from the first on, it takes to have so many words. If there are fewer words:
     null if the words must be whole, else all lines."""
-    step = lambda s, h: F.struct((s["w"] + _size(h)).alias("w"), (s["n"] + F.when(s["w"] < words, 1).otherwise(0)).alias("n"))
-    end = (lambda s: F.when(s["w"] >= words, s["n"])) if whole else (lambda s: s["n"])
-    return F.aggregate(hs, F.struct(F.lit(0).cast("long").alias("w"), F.lit(0).alias("n")), step, end)
+    # the low 16 bits hold the words so far, the others the lines
+    step = lambda s, h: s + _size(h) + F.when(s.bitwiseAND(F.lit(65535)) < words, 65536).otherwise(0)
+    n = lambda s: F.shiftright(s, 16).cast("int")
+    end = (lambda s: F.when(s.bitwiseAND(F.lit(65535)) >= words, n(s))) if whole else n
+    return F.aggregate(hs, F.lit(0).cast("long"), step, end)
 
 
 def _told(docs: DataFrame, gram: int) -> DataFrame:
@@ -63,15 +65,14 @@ def _told(docs: DataFrame, gram: int) -> DataFrame:
     some = docs.where(F.length("text") > 0)
     first = some.groupBy(F.xxhash64("text").alias("x")).agg(F.min(F.struct("id", "row")).alias("f")).select(F.col("f.row").alias("row"))
 
-    def hashed(line: Column) -> Column:
-        s = F.trim(line, F.lit(" \n\t\r"))
-        return F.xxhash64(s).bitwiseAND(F.lit(-256)).bitwiseOR(F.least(_words(s), F.lit(255)).cast("long"))
-
-    hs = some.select("id", "row", F.transform(lines(F.col("text")), hashed).alias("hs"))
+    trimmed = F.transform(lines(F.col("text")), lambda s: F.trim(s, F.lit(" \n\t\r")))
+    hashed = lambda s: F.xxhash64(s).bitwiseAND(F.lit(-256)).bitwiseOR(F.least(_words(s), F.lit(255)).cast("long"))
+    hs = some.select("id", "row", F.transform(trimmed, hashed).alias("hs"))
     told = hs.join(first, "row", "left_semi").dropDuplicates(["row"])
     # every line has a word at least, so the next gram lines are enough
     told = told.withColumn("ns", F.transform("hs", lambda h, i: _reach(F.slice("hs", i + 1, F.lit(gram)), gram, True)))
     told = told.withColumn("gs", F.transform("ns", lambda n, i: F.when(n.isNotNull(), F.xxhash64(F.slice("hs", i + 1, F.coalesce(n, F.lit(1)))))))
+    # gs is read more than once: a column that a lambda reads once is inlined and made anew for each element
     window = lambda n, i: F.slice("gs", i + 1, F.coalesce(n, F.lit(1)))
     least = F.transform("ns", lambda n, i: i + F.array_position(window(n, i), F.array_min(window(n, i))).cast("int"))
     told = told.withColumn("picks", F.array_compact(F.array_distinct(least)))
