@@ -7,6 +7,10 @@ among the first |T| - o + 1 of the template (prefix filter), has o words at leas
 enough words left behind the shared one on both sides (position filter); what remains is verified.
 Only words of templates are counted and compared, as others add to no containment.
 
+With across_lines, so is every window of as many words as the longest template that runs over a line feed,
+so that wrapped notices are met; its block is the line of its first template word. A template can only
+match a window if it matches the whole document, which the same join decides first. ORACLE has lines alone.
+
 Base phrases are places where their words stand consecutively. Words are ASCII lower-cased runs of
 ASCII letters, digits and non-ASCII characters. Null or wordless texts match nothing; empty tables give
 empty results; a template of equal words matches alike; repeated rows are matched each.
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,6 +80,7 @@ class Join:
         order = sorted({w for s in self.sets.values() for w in s}, key=lambda w: (frequency.get(w, 0), w))
         self.rank = {w: i for i, w in enumerate(order)}
         self.need = {k: max(1, math.ceil(threshold * len(s) - 1e-9)) for k, s in self.sets.items()}
+        self.longest = max((len(words_of(t.encode())) for t in templates.values()), default=0)
         self.least = min(self.need.values(), default=1)
         self.index: dict[int, list[tuple[str, int, int, int]]] = {}
         for k, s in self.sets.items():
@@ -99,6 +105,34 @@ class Join:
                         out[k] = shared / n
         return out
 
+    def across(self, lines: list[list[bytes]], by_line: list[dict[str, float]]) -> dict[tuple[int, str], float]:
+        """Containment by first line and template, over windows that cross lines and hold more than these do."""
+        words = [w for own in lines for w in own]
+        tried = self.match(words)
+        if not tried:
+            return {}
+        line_of = [i for i, own in enumerate(lines) for _ in own]
+        out: dict[tuple[int, str], float] = {}
+        for k in tried:
+            inside: dict[bytes, int] = {}
+            window: deque[int] = deque()
+            for at, w in enumerate(words):
+                if w not in self.sets[k]:
+                    continue
+                window.append(at)
+                inside[w] = inside.get(w, 0) + 1
+                while window[0] <= at - self.longest:
+                    old = words[window.popleft()]
+                    inside[old] -= 1
+                    if not inside[old]:
+                        del inside[old]
+                first, last = line_of[window[0]], line_of[at]
+                if len(inside) >= self.need[k] and first != last:
+                    c = len(inside) / len(self.sets[k])
+                    if c > max(by_line[i].get(k, 0.0) for i in range(first, last + 1)):
+                        out[first, k] = max(c, out.get((first, k), 0.0))
+        return out
+
 
 MATCHES = "n_words long, places array<struct<word:long,label:string>>, matches array<struct<block:long,label:string,containment:double>>"
 _KINDS = (
@@ -109,7 +143,12 @@ _KINDS = (
 
 
 def scan(
-    docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    templates: dict[str, str] = TEMPLATES,
+    threshold: float = THRESHOLD,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    across_lines: bool = False,
 ) -> DataFrame:
     """id, n_words, places (of base phrases) and matches (of templates, by block)."""
     vocabulary = frozenset(w for s in _sets(templates).values() for w in s)
@@ -121,12 +160,15 @@ def scan(
         for b in batches:
             n, places, matches = [], [], []
             for t in b.column(1):
-                got, at, lines = [], [], (t.as_py() or "").encode().translate(_LINES).split(b"\n")
-                words: list[bytes] = []
-                for i, line in enumerate(lines):
-                    own = line.split()
-                    words += own
-                    got += [{"block": i, "label": k, "containment": c} for k, c in sorted(join.match(own).items())]
+                at, lines = [], (t.as_py() or "").encode().translate(_LINES).split(b"\n")
+                split = [line.split() for line in lines]
+                words = [w for own in split for w in own]
+                by_line = [join.match(own) for own in split]
+                found = {(i, k): c for i, own in enumerate(by_line) for k, c in own.items()}
+                if across_lines and len(lines) > 1:
+                    for at_line, c in join.across(split, by_line).items():
+                        found[at_line] = max(c, found.get(at_line, 0.0))
+                got = [{"block": i, "label": k, "containment": c} for (i, k), c in sorted(found.items())]
                 joined = b" ".join(words)
                 for p, pattern, label in phrases:
                     if p in joined:

@@ -45,7 +45,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents"), across_lines=True))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
