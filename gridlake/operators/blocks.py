@@ -71,6 +71,22 @@ def rows_of_blocks(images: DataFrame, kernel: Callable[[np.ndarray], list[tuple[
     return picked.mapInArrow(run, f"image_id long, {schema}")
 
 
+def variants(images: DataFrame, kernel: Callable[[np.ndarray, tuple], np.ndarray], grid: list[tuple]) -> DataFrame:
+    """tid and pixels of kernel(stack, grid[tid]) -> stack of the same extent, for every image and every tid."""
+
+    def run(batches):
+        for b in batches:
+            for at, (stack,) in _stacks(b, [3]):
+                ids, cols = b.column(0).take(pa.array(at, pa.int64())), pa.array([stack.shape[2]] * len(at), pa.int32())
+                for tid, g in enumerate(grid):
+                    data = pa.array(list(np.asarray(kernel(stack, g), float).reshape(len(at), -1)), pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([tid] * len(at), pa.int32()), cols, data], ["image_id", "tid", "cols", "data"])
+
+    picked = images.select(F.col("image_id").cast("long"), F.col("rows").cast("int"), F.col("cols").cast("int"), F.col("data").cast("array<double>"))
+    p = picked.mapInArrow(run, "image_id long, tid int, cols int, data array<double>").select("tid", "image_id", "cols", F.posexplode("data").alias("p", "v"))
+    return p.select("tid", "image_id", F.expr("cast(p div cols as int)").alias("y"), (F.col("p") % F.col("cols")).cast("int").alias("x"), "v")
+
+
 def to_pixels(images: DataFrame) -> DataFrame:
     """image_id, y, x, v of every pixel."""
     p = images.select("image_id", "cols", F.posexplode("data").alias("p", "v"))
