@@ -1,0 +1,60 @@
+"""The palette generator against the batch rule pixel by pixel."""
+
+import math
+
+import numpy as np
+import pytest
+
+from gridlake.operators import palettes as L
+from gridlake.operators import pixels as P
+from gridlake.plans import image_queries as Q
+from gridlake.plans.common import doubles, frame
+
+
+def brute(px, rows, cols, iterations, use_8, distance):
+    lo, hi, n = px.min(0), px.max(0), rows * cols
+    palette = [np.round(lo + i * (hi - lo) / (n - 1), 4) for i in range(n)]
+    for it in range(iterations):
+        reach = 2 if it < iterations // 8 and rows >= 5 and cols >= 5 else 1 if it < iterations // 2 and (rows >= 3 or not use_8) else 0
+        sums = np.zeros((rows, cols, 4))
+        for p in px:
+            best = min(range(n), key=lambda j: (round(distance(p, palette[j]), 6), j))
+            by, bx = divmod(best, cols)
+            for y in range(rows):
+                for x in range(cols):
+                    dy, dx = abs(y - by), abs(x - bx)
+                    if max(dy, dx) <= reach if use_8 else dy + dx <= reach:
+                        sums[y, x] += [*(math.copysign(math.floor(abs(c) + 0.5), c) for c in p), 1]
+        palette = [s[:3] / s[3] if s[3] else q for s, q in zip(sums.reshape(-1, 4), palette, strict=True)]
+    return np.array(palette)
+
+
+@pytest.mark.parametrize("rows,cols,iterations,use_8,lab", [(5, 5, 16, False, False), (5, 6, 16, True, False), (2, 3, 4, True, False), (5, 5, 8, True, True)])
+def test_equals_the_rule(spark, rows, cols, iterations, use_8, lab):
+    px = np.round(np.random.default_rng(rows * cols).uniform((0, -60, -60) if lab else (0, 0, 0), (100, 60, 60) if lab else (255, 255, 255), (60, 3)), 2)
+    one = (lambda a, b: float(L.delta_e2000(a[None], b[None])[0, 0])) if lab else (lambda a, b: float(((a - b) ** 2).sum()))
+    df = spark.createDataFrame(px.tolist(), "c1 double, c2 double, c3 double").repartition(3)
+    got = sorted(L.generate(df, rows, cols, iterations, use_8, lab).collect())
+    assert np.allclose([r[1:] for r in got], brute(px, rows, cols, iterations, use_8, one), atol=1e-6)
+
+
+def test_distance_equals_its_sql(spark):
+    rng = np.random.default_rng(3)
+    a, b = (np.round(rng.uniform((0, -90, -90), (100, 90, 90), (200, 3)), 1) for _ in range(2))
+    a[:3, 1:] = 0
+    tables = {n: spark.createDataFrame([(i, 0, 0, *v) for i, v in enumerate(k.tolist())], "image_id long, y int, x int, c1 double, c2 double, c3 double") for n, k in (("a", a), ("b", b))}
+    want = {r.image_id: float(r.v) for r in P.run(doubles(P.delta_e2000()), **tables).collect()}
+    assert np.allclose(np.diag(L.delta_e2000(a, b)), [want[i] for i in range(200)], atol=1e-3)
+
+
+def test_queries_use_the_trained_palette(spark, sf_dir):
+    palette = {tuple(np.round(r[1:], 6)) for r in Q.Q["q093_generate_palette"].run(spark, sf_dir).collect()}
+    assert len(palette) > 6
+    got = Q.Q["q094_apply_trained_palette"].run(spark, sf_dir)
+    colours = {tuple(np.round(r, 6)) for r in got.select("c1", "c2", "c3").distinct().collect()}
+    assert colours <= palette and got.count() == frame(spark, sf_dir, "col").count()
+    assert Q.Q["q093_generate_palette_ciede2000"].run(spark, sf_dir).count() == 36
+
+
+def test_no_pixels_no_palette(spark):
+    assert L.generate(spark.createDataFrame([], "c1 double, c2 double, c3 double"), 5, 5, 8).count() == 0
