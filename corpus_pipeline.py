@@ -31,9 +31,10 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def decontaminate_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of benchmark items go."""
+    """Passages of benchmark items go. A hit is a whole window or else a whole item of fewer words, so every
+    span is removed, whatever its length."""
     found = decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return _counted(decontaminate.remove_spans(found).select(*docs.columns))
+    return _counted(decontaminate.remove_spans(found, longest=1).select(*docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,15 @@
+"""Benchmark items shorter than the window leave the pipeline's texts too."""
+
+import corpus_pipeline
+
+
+def test_an_item_of_five_words_is_removed(spark, tmp_path):
+    item = "quick amber foxes jump twice"
+    spark.createDataFrame([(1, item), (2, " ".join(f"b{i}" for i in range(30)))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    filler = " ".join(f"word{i}" for i in range(20))
+    texts = {1: f"{filler} {item} {filler}", 2: f"{filler} quick amber foxes jump once {filler}", 3: filler + " " + " ".join(f"b{i}" for i in range(5, 14)), 4: item}
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in texts.items()], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.decontaminate_spans(spark, docs, str(tmp_path)).collect()}
+    assert item not in got[1].text and got[1].text.split() == (filler + " " + filler).split()
+    assert got[2].text == texts[2] and got[3].text == texts[3] and got[4].text == ""
+    assert all(r.n_chars == len(r.text) for r in got.values())
