@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, as in
-    tests on one machine, a new temporary folder is set for the session."""
+    tests on one machine, a new temporary folder is set for the session; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("gridlake.shared.dir", None)
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         path = tempfile.mkdtemp(prefix="gridlake-")
         spark.conf.set("gridlake.shared.dir", path)
     return path.rstrip("/")
@@ -40,7 +42,17 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     executor can read it after another is lost."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that no later step reads."""
+    for t in tables:
+        jvm, jsc = t.sparkSession._jvm, t.sparkSession._jsc
+        at = jvm.org.apache.hadoop.fs.Path(t.staged_at)
+        at.getFileSystem(jsc.hadoopConfiguration()).delete(at, True)
 
 
 def crc_fold(doc_id: str = "doc_id"):
@@ -48,6 +60,11 @@ def crc_fold(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)).cast("int")
 
 
+def held_out(doc_id: str = "doc_id"):
+    """True for fold 0; a null id is in no fold and teaches nothing, so it isn't held out."""
+    return F.coalesce(crc_fold(doc_id) == 0, F.lit(False)).alias("held_out")
+
+
 FILTER_BITS = 1 << 23
 
 

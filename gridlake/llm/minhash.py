@@ -6,9 +6,9 @@ bin borrows from a bin that its own probe sequence meets (optimal densification)
 make buckets. In a bucket only star edges are drawn, from its smallest document, its anchor, so
 candidates are linear in the bucket's size; each is confirmed on the full sets. At first a document is
 held against one anchor, the least of its buckets, then against those that are still in other
-components. Where a bucket then still holds several components, further members become centres, more in
-each round, until every pair of different components in a bucket has been tried: no cap stands on
-partners or bucket sizes.
+components. Members of one anchor that are then still apart are compared through their differences
+from the anchor, by an exact set-similarity join on those (see _rims): no cap stands on partners or
+bucket sizes, and no pairs of all members are made.
 
 The signature finds a pair of similarity 0.8 in some band with probability 1 - (1 - 0.8^8)^64, above
 1 - 10^-5, and of similarity 0.85 with more than 1 - 10^-8. What is moved are signatures, ids and the sets of documents that have candidates.
@@ -23,15 +23,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import LOWER, only_ids, stage_table
+from gridlake.llm.common import LOWER, discard, only_ids, stage_table
 from gridlake.llm.components import components
 
 BINS, BANDS, ROWS = 512, 64, 8
 SALTS = 16
-MEMO_ENTRIES = 400_000
+OFTEN = 64
+MEMO_ENTRIES = 150_000
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _S29, _S32 = np.uint64(29), np.uint64(32)
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
@@ -137,24 +138,41 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, shingles binary")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have percent / 100 or more of their union in common."""
+def _common(p: np.ndarray, q: np.ndarray) -> int:
+    at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+    return int((q[at] == p).sum())
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with the sets sb and sa: the many b first, so that the few sets of hot a are
+    joined last, straight into the rows that use them, and no shuffle carries them."""
     a, b = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    both = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "sa", "sb")
+    return pairs.join(b, "b").join(a, "a")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets have percent / 100 or more of their union in common, as (u, v)."""
 
     def run(batches):
         for x in batches:
             out = []
             for i in range(x.num_rows):
                 p, q = (np.frombuffer(x.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                same = int((q[at] == p).sum())
+                same = _common(p, q)
                 if 100 * same >= percent * (len(p) + len(q) - same):
                     out.append(i)
             keep = x.take(pa.array(out, pa.int64()))
             yield pa.RecordBatch.from_arrays([keep.column(0), keep.column(1)], ["u", "v"])
 
-    return both.mapInArrow(run, "u long, v long")
+    return _with_sets(pairs.select("a", "b"), sets).select("a", "b", "sa", "sb").mapInArrow(run, "u long, v long")
+
+
+def _merge(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label (node, component) after links (u, v) have joined components; old components are the nodes."""
+    u, v = (label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "uv")
+    joined = components(links.join(u, "u").join(v, "v").select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+    joined = joined.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return stage_table(label.join(joined, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,26 +182,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     known = sig.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = stage_table(known.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "set-classes")
     reps = known.join(classes.select("set_key", F.col("rep").alias("doc_id")), ["doc_id", "set_key"]).dropDuplicates(["doc_id", "set_key"])
-    reps = reps.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
-    least = F.min(F.struct("doc_id", "n_shingles"))
-    multi = reps.groupBy("bucket").agg(F.count("*").alias("size"), least.alias("f")).where("size > 1 and f is not null")
-    multi = multi.select("bucket", F.col("f.doc_id").alias("anchor"), F.col("f.n_shingles").alias("m"))
-    multi = stage_table(multi, "buckets").select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salt = F.pmod(F.hash("doc_id"), F.lit(SALTS)).alias("salt")
-    members = stage_table(reps.select("*", salt).join(multi, ["bucket", "salt"]).drop("salt"), "members")
-    # a set of one size can reach the similarity with sets of similar sizes only
-    fits = f"100 * least(n_shingles, m) >= {percent} * greatest(n_shingles, m)"
-    # one edge a document at first: to the least anchor of all its buckets
-    stars = members.where("doc_id != anchor").where(fits).groupBy("doc_id").agg(F.min("anchor").alias("a"))
-    tried = stage_table(stars.select("a", F.col("doc_id").alias("b")), "pairs")
-    sets = stage_table(_sets(only_ids(docs, members.select("doc_id").distinct()), size).dropDuplicates(["doc_id"]), "sets")
-    links = stage_table(confirm(tried, sets, percent), "links")
-    label = components(links)
-    label, links = _further(members, sets, tried, links, label, percent, fits)
+    label = _linked(_spokes(reps), docs, size, percent)
     named = stage_table(
         classes.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id")),
         "class-components",
     )
+    discard(classes, label)
     some = sig.select("doc_id", "n_shingles", "set_key")
     linked = some.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).join(named, "set_key")
     alone = some.where(F.col("doc_id").isNull() | (F.col("n_shingles") == 0)).withColumn("component_id", F.col("doc_id"))
@@ -191,39 +195,130 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     return every.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _further(members, sets, tried, links, label, percent: int, fits: str):
-    """Tries the pairs of different components of a bucket that are left: from each bucket's anchor first,
-    then from more centres in each round."""
-    last = stage_table(members.select("bucket", F.col("anchor").alias("last")).distinct(), "centres")
-    label, centres = stage_table(label, "labels"), 0
-    while True:
-        one = label.select(F.col("node").alias("doc_id"), "component")
-        named = members.join(one, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k"))
-        mixed = mixed.where("lo != hi" + " and k > 2" * (centres > 0)).select("bucket")
-        home = named.where("doc_id = anchor").select("bucket", F.col("component").alias("home")).distinct()
-        open_ = stage_table(named.join(mixed, "bucket").join(last, "bucket").join(home, "bucket").drop("m"), "open")
-        if centres:
-            rank = F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id"))
-            chosen = open_.where("component != home and doc_id > last").withColumn("rank", rank).where(F.col("rank") <= centres)
-            partners = open_.where("doc_id != anchor")  # all have been tried from it
-        else:
-            chosen, partners = open_.where("doc_id = anchor"), open_
-        chosen = stage_table(chosen.select("bucket", F.col("doc_id").alias("a"), F.col("n_shingles").alias("m"), F.col("component").alias("own")), "chosen")
-        if not chosen.take(1):
-            if centres:
-                return label, links
-            centres = 2
-            continue
-        pairs = partners.join(chosen, "bucket").where("component != own and doc_id != a").where(fits)
-        pairs = pairs.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
-        fresh = stage_table(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if fresh.take(1):
-            tried = tried.union(fresh)
-            more = stage_table(confirm(fresh, sets, percent), "links")
-            if more.take(1):
-                links = links.union(more)
-                label = stage_table(components(links), "labels")
-        last = last.join(chosen.groupBy("bucket").agg(F.max("a").alias("to")), "bucket", "left").select("bucket", F.coalesce("to", "last").alias("last"))
-        last = stage_table(last, "centres")
-        centres = 4 * centres or 2
+def _spokes(reps: DataFrame) -> DataFrame:
+    """a, m, b, n: each document b with the anchors a of its buckets, once each, and the sizes of both sets.
+    At most BANDS rows a document; a bucket of any size gives one row a member."""
+    reps = reps.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
+    least = F.min(F.struct("doc_id", "n_shingles"))
+    multi = reps.groupBy("bucket").agg(F.count("*").alias("size"), least.alias("f")).where("size > 1 and f is not null")
+    multi = multi.select("bucket", F.col("f.doc_id").alias("a"), F.col("f.n_shingles").alias("m"))
+    multi = stage_table(multi, "buckets")
+    salted = multi.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salt = F.pmod(F.hash("doc_id"), F.lit(SALTS)).alias("salt")
+    both = reps.select("*", salt).join(salted, ["bucket", "salt"]).where("doc_id != a")
+    spokes = stage_table(both.select("a", "m", F.col("doc_id").alias("b"), F.col("n_shingles").alias("n")).distinct(), "spokes")
+    discard(multi)
+    return spokes
+
+
+def _linked(spokes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """node, component of all documents that share a bucket with another.
+
+    Three passes, whatever the data: each document against the least of its anchors; then against those
+    of its anchors that are still in other components; then the members of each anchor among themselves,
+    as _rims finds them."""
+    ends = spokes.select("a").union(spokes.select("b")).distinct()
+    nodes = stage_table(ends.select(F.col("a").alias("node"), F.col("a").alias("component")), "nodes")
+    sets = stage_table(_sets(only_ids(docs, nodes.select(F.col("node").alias("doc_id"))), size).dropDuplicates(["doc_id"]), "sets")
+    # a set of one size can reach the similarity with sets of similar sizes only
+    fitting = spokes.where(f"100 * least(n, m) >= {percent} * greatest(n, m)")
+    first = stage_table(fitting.groupBy("b").agg(F.min("a").alias("a")), "pairs")
+    links = stage_table(confirm(first, sets, percent), "links")
+    label = _merge(nodes, links)
+    discard(nodes, links)
+    rest = stage_table(_apart(fitting, label).select("a", "b").join(first, ["a", "b"], "left_anti"), "pairs")
+    links = stage_table(confirm(rest, sets, percent), "links")
+    label, old = _merge(label, links), label
+    discard(old, links, first, rest)
+    rims = stage_table(_rims(spokes, label, sets, percent), "pairs")
+    links = stage_table(confirm(rims, sets, percent), "links")
+    label, old = _merge(label, links), label
+    discard(old, links, rims, sets, spokes)
+    return label
+
+
+def _named(spokes: DataFrame, label: DataFrame) -> DataFrame:
+    """spokes with the components ca and cb."""
+    a, b = (label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    return spokes.join(b, "b").join(a, "a")
+
+
+def _apart(spokes: DataFrame, label: DataFrame) -> DataFrame:
+    return _named(spokes, label).where("ca != cb")
+
+
+def _rims(spokes: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of one anchor, in different components, that may reach the similarity.
+
+    At least one of the two, f, isn't linked to the anchor. D(x), the symmetric difference of x and the
+    anchor, is short for near copies, and |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|, so the similarity asks
+    for a least overlap of D(f) and D(y): more than half of D(y). That is a set-similarity join on the D, with
+    prefix and position filters, shingles in ascending order of their frequency among the anchor's
+    members. It is exact, and what all members share with the anchor is in no D and pairs nobody."""
+    named = _named(spokes, label)
+    mixed = named.groupBy("a").agg(F.bool_or(F.col("ca") != F.col("cb")).alias("mixed"), F.count("*").alias("k")).where("mixed and k > 1").select("a", "k")
+    open_ = named.join(mixed, "a").select("a", "b", "cb", (F.col("ca") != F.col("cb")).alias("far"), "k")
+    deltas = stage_table(_deltas(open_, sets), "deltas")
+    counts = deltas.select("a", "k", F.explode("delta").alias("g")).groupBy("a", "g").agg(F.count("*").alias("c"), F.first("k").alias("k"))
+    # at most OFTEN times the longest difference for an anchor
+    often = counts.where(f"c > 2 and c * {OFTEN} > k").groupBy("a").agg(F.collect_list(F.struct("c", "g")).alias("often"))
+    ordered = stage_table(_prefixes(deltas.join(often, "a", "left"), percent), "prefixes")
+
+    def side(x: str, length: str) -> DataFrame:
+        out = ordered.where(F.col(length) > 0).select("a", "b", "cb", "n", "d", F.posexplode(F.slice("delta", F.lit(1), F.col(length))).alias("pos", "g"))
+        return out.select("a", "g", *(F.col(c).alias(c + x) for c in ("b", "cb", "n", "d", "pos")))
+
+    p, q = 100 - percent, 100 + percent
+    overlap = f"ceil(({q} * (df + dy) - {p} * (nf + ny)) / {2 * q}.0d)"
+    near = f"100 * least(nf, ny) >= {percent} * greatest(nf, ny) and posf <= df - {overlap} and posy <= dy - {overlap}"
+    found = side("f", "far_len").join(side("y", "any_len"), ["a", "g"]).where("cbf != cby and " + near)
+    return found.select(F.least("bf", "by").alias("a"), F.greatest("bf", "by").alias("b")).distinct()
+
+
+def _deltas(spokes: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, cb, far, k, n, m, delta: the shingles that one of the sets of a and b has alone."""
+
+    def run(batches):
+        for x in batches:
+            n, m, delta = [], [], []
+            for s, t in zip(x.column(5), x.column(6), strict=True):
+                s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (s, t))
+                n.append(len(t))
+                m.append(len(s))
+                delta.append(np.setxor1d(s, t, assume_unique=True).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [*x.columns[:5], pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(delta, pa.list_(pa.int64()))],
+                ["a", "b", "cb", "far", "k", "n", "m", "delta"],
+            )
+
+    both = _with_sets(spokes, sets).select("a", "b", "cb", "far", "k", "sa", "sb")
+    return both.mapInArrow(run, "a long, b long, cb long, far boolean, k long, n long, m long, delta array<long>")
+
+
+def _prefixes(deltas: DataFrame, percent: int) -> DataFrame:
+    """The rarest shingles of each difference: far_len of them as the member that isn't linked to the
+    anchor (0 for others), any_len as its partner."""
+    p, q = 100 - percent, 100 + percent
+
+    def run(batches):
+        for x in batches:
+            d, far_len, any_len, kept = [], [], [], []
+            for far, n, m, delta, often in zip(*(x.column(c) for c in (3, 4, 5, 6, 7)), strict=True):
+                n, m, g = n.as_py(), m.as_py(), delta.values.to_numpy(zero_copy_only=False)
+                seen = {o["g"]: o["c"] for o in often.as_py() or ()}
+                g = g[np.lexsort((g, np.fromiter((seen.get(v, 0) for v in g.tolist()), np.int64, len(g))))] if seen else np.sort(g)
+                # the least overlaps that any partner can need, rounded up
+                y = max(1, -(-((m - n) * p + len(g) * q + 1) // (2 * q)))
+                f = max(1, -(-(len(g) * percent - n * p) // percent))
+                any_len.append(max(0, len(g) - y + 1))
+                far_len.append(max(0, len(g) - f + 1) if far.as_py() else 0)
+                d.append(len(g))
+                kept.append(g[: max(any_len[-1], far_len[-1])])
+            yield pa.RecordBatch.from_arrays(
+                [*x.columns[:3], x.column(4), pa.array(d, pa.int64()), pa.array(far_len, pa.int32()), pa.array(any_len, pa.int32()), pa.array(kept, pa.list_(pa.int64()))],
+                ["a", "b", "cb", "n", "d", "far_len", "any_len", "delta"],
+            )
+
+    return deltas.select("a", "b", "cb", "far", "n", "m", "delta", "often").mapInArrow(
+        run, "a long, b long, cb long, n long, d long, far_len int, any_len int, delta array<long>"
+    )
