@@ -47,26 +47,34 @@ def gaussian(a: np.ndarray, size: int, sigma: float) -> np.ndarray:
 
 
 def recursive_gaussian(a: np.ndarray, sigma: float, pad: int) -> np.ndarray:
-    """Third-order recursive Gaussian, forwards then backwards, over rows and then columns; the border
-    is the mirrored row with its edge sample repeated, pad samples long."""
-    q = 0.98711 * sigma - 0.96330 if sigma >= 2.5 else 3.97156 - 4.14554 * np.sqrt(1 - 0.26891 * sigma)
+    """Third-order recursive Gaussian, forwards then backwards, over rows and then columns. The row is
+    mirrored with its edge sample repeated, pad samples (three or more) at both ends; the way forward starts
+    from zeros, the way back from the last three values of the way forward, which it leaves as they are."""
+    if sigma < 0.5:
+        q = 0.1147705
+    else:
+        q = 0.98711 * sigma - 0.96330 if sigma >= 2.5 else 3.97156 - 4.14554 * np.sqrt(1 - 0.26891 * sigma)
     b0 = 1.57825 + 2.44413 * q + 1.4281 * q**2 + 0.422205 * q**3
     b1 = (2.44413 * q + 2.85619 * q**2 + 1.26661 * q**3) / b0
     b2 = -(1.4281 * q**2 + 1.26661 * q**3) / b0
     b3 = 0.422205 * q**3 / b0
     gain = 1 - (b1 + b2 + b3)
 
+    def filtered(x: np.ndarray, state: list) -> np.ndarray:
+        """x along its last axis after the three outputs of state, the newest first."""
+        y = np.empty_like(x)
+        p1, p2, p3 = state
+        for i in range(x.shape[-1]):
+            y[..., i] = gain * x[..., i] + b1 * p1 + b2 * p2 + b3 * p3
+            p1, p2, p3 = y[..., i], p1, p2
+        return y
+
     def along(x: np.ndarray) -> np.ndarray:
         n = x.shape[-1]
         w = np.pad(x, [(0, 0)] * (x.ndim - 1) + [(pad, pad)], mode="symmetric")
-        for step in (1, -1):
-            y, s = np.empty_like(w), range(w.shape[-1])[::step]
-            p1 = p2 = p3 = w[..., s[0]]
-            for i in s:
-                y[..., i] = gain * w[..., i] + b1 * p1 + b2 * p2 + b3 * p3
-                p1, p2, p3 = y[..., i], p1, p2
-            w = y
-        return w[..., pad : pad + n]
+        back = filtered(w, [0.0] * 3)[..., ::-1]
+        back = filtered(back[..., 3:], [back[..., 2], back[..., 1], back[..., 0]])
+        return back[..., pad - 3 : pad - 3 + n][..., ::-1]
 
     return along(along(a.astype(float)).swapaxes(1, 2)).swapaxes(1, 2)
 

@@ -1,0 +1,147 @@
+"""Kernels without SQL against plain loops and hand-made pixels."""
+
+import math
+
+import numpy as np
+import pytest
+
+from gridlake.functions import morphology as M
+from gridlake.functions import stencils as S
+from gridlake.functions import vision as V
+
+RNG = np.random.default_rng(4)
+
+
+def recursive_row(row, sigma, pad):
+    """Forwards from zeros over the mirrored row, and back from the last three values."""
+    q = 0.1147705 if sigma < 0.5 else 3.97156 - 4.14554 * math.sqrt(1 - 0.26891 * sigma) if sigma < 2.5 else 0.98711 * sigma - 0.9633
+    b = [1.57825 + 2.44413 * q + 1.4281 * q * q + 0.422205 * q**3, 2.44413 * q + 2.85619 * q * q + 1.26661 * q**3, -1.4281 * q * q - 1.26661 * q**3, 0.422205 * q**3]
+    gain, c = 1 - sum(b[1:]) / b[0], [x / b[0] for x in b[1:]]
+    w = [*row[:pad][::-1], *row, *row[-pad:][::-1]]
+    out = []
+    for v in w:
+        last = [*out[::-1], 0.0, 0.0, 0.0][:3]
+        out.append(gain * v + sum(x * y for x, y in zip(c, last)))
+    for i in range(len(out) - 4, -1, -1):
+        out[i] = gain * out[i] + sum(x * y for x, y in zip(c, out[i + 1 : i + 4]))
+    return out[pad : pad + len(row)]
+
+
+@pytest.mark.parametrize(("sigma", "pad"), [(0.3, 3), (1.5, 6), (3.0, 9)])
+def test_recursive_gaussian(sigma, pad):
+    a = RNG.uniform(0, 255, (2, 12, 10))
+    rows = np.array([[recursive_row(r.tolist(), sigma, pad) for r in img] for img in a])
+    want = np.array([[recursive_row(r.tolist(), sigma, pad) for r in img.T] for img in rows]).swapaxes(1, 2)
+    assert np.allclose(S.recursive_gaussian(a, sigma, pad), want)
+
+
+def test_retinex_and_its_three_scalings():
+    a = np.floor(RNG.uniform(0, 256, (1, 9, 9)))
+    blur = S.gaussian(a + 1, 5, 1.5)
+    raw = np.log(a + 1) - np.log(blur)
+    assert np.allclose(V.rescaled(V.retinex(a, (5,), (1.5,)), "none"), raw)
+    mu, sd = raw.mean(), raw.std()
+    assert np.allclose(V.rescaled(raw, "deviation", 2.0), (raw - (mu - 2 * sd)) * 255 / (4 * sd))
+    s = V.rescaled(raw, "balance", 0.05)
+    assert (s <= 0).sum() >= 3 and (s >= 255).sum() >= 3
+    twice = V.retinex(a, (3, 5), (0.8, 1.5), (0.7, 0.6))
+    one = S.gaussian(a + 1, 3, 0.8)
+    two = S.gaussian(one, 5, 1.5)
+    assert np.allclose(twice, np.log(a + 1) - (0.7 * np.log(one) + 0.6 * np.log(two)) / 1.3)
+    c = [np.floor(RNG.uniform(0, 256, (1, 9, 9))) for _ in range(3)]
+    got = V.retinex_colour(*c, (3,), (0.8,), (0.5,), False, "none")
+    total = np.log(sum(c) + 3)
+    for x, y in zip(c, got):
+        assert np.allclose(y, (np.log(128 * (x + 1)) - total) * 0.5 * 0 + (np.log(128 * (x + 1)) - total) * V.retinex(x, (3,), (0.8,), (0.5,)))
+    grey = V.retinex_colour(*c, (3,), (0.8,), (0.5,), True)
+    assert all((0 - 1e-9 <= g.max()) and g.max() <= 255 + 1e-9 for g in grey)
+
+
+def test_saliency_saturation_clips_both_tails():
+    lab = [RNG.uniform(-50, 100, (1, 16, 16)) for _ in range(3)]
+    plain, cut = V.saliency(lab), V.saliency(lab, 1.0, 0.1)
+    assert np.isclose(plain.min(), 0) and np.isclose(plain.max(), 255)
+    assert (cut <= 0).sum() > 16 and (cut >= 255).sum() > 16
+    order = np.argsort(plain.ravel())
+    assert (np.diff(cut.ravel()[order]) >= -1e-9).all()
+
+
+def test_demosaic_keeps_own_pixels_and_flat_colours():
+    a = np.floor(RNG.uniform(0, 256, (1, 8, 8)))
+    b, g, r = V.bayer(a, (0, 0))
+    assert (r[:, ::2, ::2] == a[:, ::2, ::2]).all() and (b[:, 1::2, 1::2] == a[:, 1::2, 1::2]).all()
+    assert (g[:, ::2, 1::2] == a[:, ::2, 1::2]).all() and (g[:, 1::2, ::2] == a[:, 1::2, ::2]).all()
+    flat = np.full((1, 10, 10), 90.0)
+    for c in V.bayer(flat, (1, 0)):
+        assert np.allclose(c[:, 2:-2, 2:-2], 90)
+    for c in range(3):
+        for y in (0, 1):
+            for x in (0, 1):
+                assert np.isclose(V.bayer_kernel(c, y, x).sum(), 1)
+
+
+def test_line_ends():
+    a = np.zeros((1, 7, 9))
+    a[0, 3, 2:7] = 255
+    assert np.argwhere(M._ends(a)[0]).tolist() == [[3, 2], [3, 6]]
+    for k in range(4):  # a diagonal line in four turns
+        d = np.rot90(np.diag([0, 1, 1, 1, 0]) * 255.0, k)[None]
+        assert M._ends(d).sum() == 2
+    assert not M._ends(np.full((1, 5, 5), 255.0))[0, 2, 2]
+
+
+def test_canny_finds_a_step_and_nothing_on_a_flat_image():
+    a = np.zeros((1, 12, 12))
+    a[0, :, 6:] = 200
+    assert (V.canny(a, 60, 160)[0, 2:-2].sum(0) > 0).sum() == 1
+    assert not V.canny(np.full((1, 9, 9), 70.0), 60, 160).any()
+
+
+def blobs(rows, cols, seed):
+    a = S.gaussian(np.random.default_rng(seed).uniform(0, 255, (1, rows, cols)), 0, 1.5)
+    return np.floor(V.balance(a, 0.0)[0])
+
+
+@pytest.mark.parametrize("edge_limit", [None, 40.0])
+def test_template_is_found_where_it_was_cut(edge_limit):
+    target = blobs(96, 96, 1)
+    cost, m = V.match_template(target[24:72, 32:80], target, edge_limit=edge_limit)
+    assert cost == 0 and np.allclose(m, [[1, 0, 32], [0, 1, 24]])
+
+
+def test_template_is_found_turned():
+    target = blobs(96, 96, 2)
+    small = V.rotation((48, 48), 4.0)
+    turned = V.warp_affine(target[None], tuple(V.inverse_map(small).ravel()), 0.0)[0]
+    templ = np.floor(turned[24:72, 24:72])  # the target turned by four degrees, cut
+    cost, m = V.match_template(templ, target, levels=3)
+    want = V.inverse_map(small) @ np.array([[1, 0, 24], [0, 1, 24], [0, 0, 1.0]])
+    corner = lambda t: t @ np.array([[0, 47, 0, 47], [0, 0, 47, 47], [1, 1, 1, 1]])
+    assert np.abs(corner(m) - corner(want)).max() < 1.5
+    assert cost < V.match_template(templ, target, levels=3, low=-9, high=-8)[0]
+
+
+def test_guess_of_all_around_and_its_use():
+    target = blobs(64, 64, 3)
+    target[0, :] = target[:, 0] = 0
+    half = np.rot90(target[17:49, 17:49], 2)
+    angle, score = V.guess_angle(half, target, 7.5)
+    assert abs(angle) == 180 and score > 0.95
+    _, m = V.match_template(half, target, levels=2, initial_guess=True)
+    assert m[0, 0] < -0.99 and np.abs(m[:, 2] - 48).max() <= 1.5
+
+
+def test_best_match_gives_a_map_and_steps_by_the_template():
+    target = blobs(40, 50, 4)
+    score, m = V.best_match(target[6:26, 9:39], target)
+    assert score > 0.999 and np.allclose(m, [[1, 0, 9], [0, 1, 6]])
+
+
+def test_templates_too_small_for_their_levels_are_refused():
+    with pytest.raises(ValueError, match="levels"):
+        V.match_template(np.zeros((4, 4)), np.zeros((64, 64)), 4)
+
+
+def test_resized_halves_as_two_by_two_means():
+    a = np.floor(RNG.uniform(0, 256, (8, 6)))
+    assert (V.resized(a, 4, 3) == np.floor(a.reshape(4, 2, 3, 2).mean((1, 3)) + 0.5)).all()
