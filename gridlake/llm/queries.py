@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlake.llm import ann, bpe, decontaminate, licenses, line_dedup, minhash, quality, secrets, token_files, toxicity
-from gridlake.llm.common import crc_fold, table
+from gridlake.llm.common import held_out, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
@@ -24,7 +24,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     out = toxicity.score(docs, model)
     score = F.col("toxic_score")
-    return out.select("doc_id", (crc_fold() == 0).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out(), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     score = F.col("quality_score")
     return quality.score(docs, model).select(
-        "doc_id", (crc_fold() == 0).alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted")
+        "doc_id", held_out(), score.alias("score"), (score >= 0.3).cast("int").alias("predicted")
     )
 
 

@@ -1,20 +1,25 @@
 """Toxicity by two class-conditional Kneser-Ney models over characters.
 
-Texts are folded to 32 symbols (letters without case and accents, space, digit, marks), and two
-interpolated Kneser-Ney models of order 5, one of toxic and one of ordinary training documents, give
-the log-likelihoods; their difference divided by the length, put through a fitted logistic curve, is
-the score. Both models back off to the same lower orders: continuation counts (distinct left
-neighbours) of all training documents together. Expressions in fewer than MIN_DOCS training documents,
-or whose shares of the two classes' documents differ by less than MIN_Z standard errors, are smoothed
-through those shared counts alone, so they favour neither class. Counts are of documents
-(an n-gram counts once in each), and documents of equal text count once, so copies teach nothing twice.
-
-Learning reads only labelled rows of folds 1 to 4 (crc32 of the id as text, mod 5): folds 2 to 4 give
-counts, fold 1 the curve. Everything that leaves the executors is bounded: at most 32^5 n-grams, and
-those kept are in MIN_DOCS documents or more; the curve is fitted on a histogram.
-
-A null or empty text has length 0 and the score of no evidence. Null ids are never labelled.
-Without labels of both classes every score is 0. Repeated rows get equal scores.
+Texts are folded to 32 symbols (letters without case and accents, space, digit, marks; code points from
+U+0300 up are dealt over the letters), and two interpolated Kneser-Ney models of order 5, one of toxic and
+one of ordinary training documents, give log-likelihoods. Both back off to the same lower orders:
+continuation counts (distinct left neighbours) of all training documents together, so what is rare in
+a class is smoothed by what all documents share, and an n-gram that neither class has counts through
+the two backoff weights of its context. The log-likelihood ratio is taken against its mean in ordinary
+text after the same context: a class of fewer documents gives all its unseen n-grams less, which would
+otherwise count against every text, more so in languages with few toxic documents. The sum over a text
+divided by its length, put through a fitted logistic curve, is the score.
+
+Counts are of documents (an n-gram counts once in each), and documents of equal text count once, so
+copies teach nothing twice. Learning reads only labelled rows of folds 1 to 4 (crc32 of the id as text,
+mod 5): folds 2 to 4 give counts, fold 1 the curve, with the classes' own shares. The counts are summed
+by Spark and grow with the corpus up to 32^5 n-grams; the driver gets at most 32^4 continuation counts and
+the finished table of 32^5 ratios of two bytes, whatever the size; the curve is fitted on a histogram.
+
+A null or empty text has ratio 0. Where fold 1 lacks a class, every score is the share of toxic training
+documents; without labels of both classes it is 1 if there are only toxic ones, else 0. Null ids are never
+labelled. Repeated rows get equal scores. Columns named toxic_ratio or toxic_score are replaced by score();
+score_column() adds none.
 """
 
 from __future__ import annotations
@@ -27,17 +32,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import crc_fold, only_ids, stage_table
+from gridlake.llm.common import crc_fold, discard, only_ids, stage_table
 
 ORDER, SYMBOLS = 5, 32
-MIN_DOCS, MIN_Z = 5, 6.0
-DISCOUNT, SHARED_WEIGHT = 0.75, 2.0
+DISCOUNT = 0.75
 SPACE = 26
+BLOCK = SYMBOLS**3  # n-grams of one block, which share their first two symbols
+HELD = 4_000_000  # codes of training documents that a task holds before it sums them
+STEPS = 2_048  # of a log ratio, as the table holds it in two bytes
 
 
 def _symbols() -> np.ndarray:
-    """Code point to symbol; the last entry stands for all further ones."""
-    t = np.full(0x301, 31, np.uint8)
+    """Code points below U+0300 to symbols."""
+    t = np.zeros(0x300, np.uint8)
     for cp in range(0x300):
         base = unicodedata.normalize("NFD", chr(cp))[0].lower()
         if "a" <= base <= "z":
@@ -52,6 +59,8 @@ def _symbols() -> np.ndarray:
             t[cp] = 29
         elif cp < 128:
             t[cp] = 30
+        else:
+            t[cp] = 31
     return t
 
 
@@ -64,7 +73,11 @@ def grams(text: str) -> np.ndarray:
     s = np.empty(len(a) + ORDER, np.int32)
     s[: ORDER - 1] = SPACE
     s[-1] = SPACE
-    s[ORDER - 1 : -1] = _TABLE[np.minimum(a, 0x300)]
+    inner = s[ORDER - 1 : -1]
+    inner[:] = _TABLE[np.minimum(a, 0x2FF)]
+    other = a >= 0x300
+    if other.any():
+        inner[other] = a[other] * np.uint32(2_654_435_761) % np.uint32(26)
     n = len(a) + 1
     k = s[:n].copy()
     for j in range(1, ORDER):
@@ -73,62 +86,94 @@ def grams(text: str) -> np.ndarray:
     return k
 
 
-def fit_models(codes: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """codes ascending, their document counts (row 0 ordinary, row 1 toxic) and the classes' sizes to
-    the log ratio toxic : ordinary of each code that tells the classes apart."""
-    # shared lower orders: continuation counts of all documents together
-    levels, held = [], codes
-    for _ in range(ORDER - 1):
-        suffix = held % SYMBOLS ** (ORDER - 1 - len(levels))
-        u, n = np.unique(suffix, return_counts=True)
-        levels.append((u, n))
-        held = u
-    p_codes, p = np.arange(1), np.full(1, 1 / SYMBOLS)  # order 0: any symbol alike
+def lower_orders(suffix: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Shared probabilities of order ORDER - 1, a dense table, from its n-grams (ascending) and how many
+    distinct symbols stand before each in all training documents. Shorter orders are counted alike."""
+    levels = [(suffix, kinds)]
+    for order in range(ORDER - 2, 0, -1):
+        levels.append(np.unique(levels[-1][0] % SYMBOLS**order, return_counts=True))
+    p = np.full(1, 1 / SYMBOLS)  # order 0: any symbol alike
     for order, (u, n) in enumerate(reversed(levels), 1):
-        low = p[np.searchsorted(p_codes, u % SYMBOLS ** (order - 1))]
         _, inv = np.unique(u // SYMBOLS, return_inverse=True)
-        total, kinds = np.bincount(inv, n), np.bincount(inv)
-        p_codes, p = u, (n - DISCOUNT + DISCOUNT * kinds[inv] * low) / total[inv]
-    span = SYMBOLS ** (ORDER - 1)
-    low = p[np.searchsorted(p_codes, codes % span)]
-    _, inv = np.unique(codes // SYMBOLS, return_inverse=True)
-    logs = []
-    for c in counts.astype(float):
-        seen = np.maximum(c - DISCOUNT, 0)
-        weight = DISCOUNT * np.bincount(inv, c > 0)[inv] + SHARED_WEIGHT
-        logs.append(np.log((seen + weight * low) / (np.bincount(inv, seen)[inv] + weight)))
-    ratio = logs[1] - logs[0]
-    share = counts / np.maximum(sizes, 1)[:, None]
-    pooled = counts.sum(0) / max(sizes.sum(), 1)
-    error = np.sqrt(pooled * (1 - pooled) * (1 / np.maximum(sizes, 1)).sum() + 1e-12)
-    enough = (counts.sum(0) >= MIN_DOCS) & (np.abs(share[1] - share[0]) >= MIN_Z * error)
-    return codes[enough].astype(np.int32), ratio[enough].astype(np.float32)
-
-
-STEPS = 16  # of the log ratio, as it is held in a byte
+        back = DISCOUNT * np.bincount(inv)[inv] * p[u % SYMBOLS ** (order - 1)]
+        p = np.zeros(SYMBOLS**order)
+        p[u] = (n - DISCOUNT + back) / np.bincount(inv, n)[inv]
+    return p
+
+
+def ratios(block: int, codes: np.ndarray, counts: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Log ratios toxic : ordinary of all n-grams of a block, against their mean in ordinary text after
+    the same context. codes: those seen; counts: their document counts (row 0 ordinary, row 1 toxic);
+    low: as lower_orders gives it."""
+    at = codes - block * BLOCK
+    dense = np.zeros((2, BLOCK))
+    dense[:, at] = counts
+    c = dense.reshape(2, -1, SYMBOLS)
+    share = low[np.arange(block * BLOCK, (block + 1) * BLOCK) % SYMBOLS ** (ORDER - 1)].reshape(-1, SYMBOLS)
+    total = c.sum(2, keepdims=True)
+    seen = total > 0
+    total = np.where(seen, total, 1.0)
+    back = np.where(seen, DISCOUNT * (c > 0).sum(2, keepdims=True) / total, 1.0)
+    kept = np.maximum(c - DISCOUNT, 0) / total
+    either = c.sum(0) > 0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        log = np.log(np.where(either, kept + back * share, back))  # of an unseen one the shared part is in both
+    ratio = log[1] - log[0]
+    first = np.where(either, kept[0] + back[0] * share, 0.0)
+    mean = (first * ratio).sum(1, keepdims=True) + (1 - first.sum(1, keepdims=True)) * np.log(back[1] / back[0])
+    ratio -= np.where(either.any(1, keepdims=True), mean, 0.0)
+    return np.clip(np.rint(ratio * STEPS), -32_767, 32_767).astype(np.int16).ravel()
+
+
+def _ratio(table: np.ndarray, text: str | None) -> float:
+    return float(table[grams(text)].mean(dtype=np.float64)) / STEPS if text else 0.0
 
 
 class Model:
-    """Log ratios by n-gram code in a table of 32^5 bytes, and the curve of the score."""
+    """Log ratios by n-gram code, 32^5 in two bytes each, and the curve of the score: a logistic function
+    of the ratio's distance from middle, in units, on a logarithmic scale."""
 
-    def __init__(self, codes: np.ndarray, ratio: np.ndarray, slope: float, middle: float):
-        self.codes, self.values = codes, np.clip(np.rint(ratio * STEPS), -127, 127).astype(np.int8)
-        self.slope, self.middle, self._dense = slope, middle, None
-
-    def __getstate__(self):
-        return self.__dict__ | {"_dense": None}
+    def __init__(self, table: np.ndarray, share: float):
+        self.table, self._shared = table, None
+        self.middle, self.unit, self.slope = 0.0, 1.0, 0.0
+        self.offset = float(np.log(share / (1 - share)))
 
     def ratio(self, text: str | None) -> float:
-        """Log-likelihood ratio a character."""
-        if not text:
-            return 0.0
-        if self._dense is None:
-            self._dense = np.zeros(SYMBOLS**ORDER, np.int8)
-            self._dense[self.codes] = self.values
-        return float(self._dense[grams(text)].mean(dtype=np.float64)) / STEPS
+        """Centred log-likelihood ratio a character."""
+        return _ratio(self.table, text)
+
+    def shared(self, spark):
+        """The table as a broadcast variable, sent once: 64 MB at every size of the corpus."""
+        if self._shared is None:
+            self._shared = spark.sparkContext.broadcast(self.table)
+        return self._shared
+
+    def far(self, ratio: np.ndarray) -> np.ndarray:
+        x = (ratio - self.middle) / self.unit
+        return np.sign(x) * np.log1p(np.abs(x))
 
     def score(self, ratio: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * (ratio - self.middle), -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.far(ratio) + self.offset, -30, 30)))
+
+    def set_curve(self, bins: np.ndarray, n: np.ndarray) -> None:
+        """bins of the ratio, ascending, with counts (row 0 ordinary, row 1 toxic)."""
+        below = np.cumsum(n[0]) / n[0].sum()
+        self.middle = float(bins[np.searchsorted(below, 0.5)])
+        off = np.abs(bins - self.middle)
+        order = np.argsort(off, kind="stable")
+        self.unit = max(float(off[order][np.searchsorted(np.cumsum(n[0][order]) / n[0].sum(), 0.5)]), 1e-4)
+        x, y, w = np.tile(self.far(bins), 2), np.repeat([0.0, 1.0], len(bins)), n.ravel() / n.sum()
+        slope, offset = 1.0, self.offset
+        for _ in range(100):  # Newton steps with a small ridge
+            p = 1 / (1 + np.exp(-np.clip(slope * x + offset, -30, 30)))
+            v = w * p * (1 - p)
+            g = np.array([((p - y) * w * x).sum() + 1e-6 * slope, ((p - y) * w).sum()])
+            h = np.array([[(v * x * x).sum() + 1e-6, (v * x).sum()], [(v * x).sum(), v.sum() + 1e-9]])
+            step = np.clip(np.linalg.solve(h, g), -3, 3)
+            slope, offset = slope - step[0], offset - step[1]
+            if np.abs(step).max() < 1e-9:
+                break
+        self.slope, self.offset = max(float(slope), 1e-3), float(offset)
 
 
 def _count(batches):
@@ -146,7 +191,7 @@ def _count(batches):
     for b in batches:
         for t, x in zip(b.column(0), b.column(1).to_pylist(), strict=True):
             held[x].append(np.unique(grams(t.as_py() or "")))
-            if len(held[x]) >= 4_000:
+            if sum(map(len, held[x])) >= HELD:
                 merge(x)
     merge(0)
     merge(1)
@@ -158,68 +203,80 @@ def _count(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(zero if x else k), pa.array(k if x else zero)], ["code", "n_ord", "n_tox"])
 
 
-def _curve(bins: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-    """Logistic regression of the class on the log ratio, both classes of equal weight; bins of the
-    ratio with counts (row 0 ordinary, row 1 toxic). slope and middle."""
-    w = n / np.maximum(n.sum(1, keepdims=True), 1)
-    x, y, w = np.tile(bins, 2), np.repeat([0.0, 1.0], len(bins)), w.ravel()
-    scale = max(np.sqrt(np.average((x - np.average(x, weights=w)) ** 2, weights=w)), 1e-6)
-    mean = np.average(x, weights=w)
-    z, a, c = (x - mean) / scale, 1.0, 0.0
-    for _ in range(50):  # Newton steps with a small ridge
-        p = 1 / (1 + np.exp(-np.clip(a * z + c, -30, 30)))
-        g = np.array([((p - y) * w * z).sum() + 1e-3 * a, ((p - y) * w).sum()])
-        v = w * p * (1 - p)
-        h = np.array([[(v * z * z).sum() + 1e-3, (v * z).sum()], [(v * z).sum(), v.sum() + 1e-9]])
-        step = np.linalg.solve(h, g)
-        a, c = a - step[0], c - step[1]
-        if np.abs(step).max() < 1e-9:
-            break
-    a = max(a, 1e-3)
-    return a / scale, mean - c / a * scale
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """The models of all labelled rows that are not held out."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+def _blocks(counts: DataFrame, low: np.ndarray) -> DataFrame:
+    """block, ratios: the table's blocks that hold training n-grams; a group has BLOCK rows at most."""
+    shared = counts.sparkSession.sparkContext.broadcast(low.astype(np.float32))
+    grouped = counts.groupBy((F.col("code") / BLOCK).cast("int").alias("block")).agg(F.collect_list(F.struct("code", "n_ord", "n_tox")).alias("rows"))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for block, rows in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                code, ordinary, toxic = (f.to_numpy().astype(np.int64) for f in rows.values.flatten())
+                out.append(ratios(block, code, np.stack([ordinary, toxic]), shared.value).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["block", "ratios"])
+
+    return grouped.mapInArrow(run, "block int, ratios binary")
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model | float:
+    """The models of all labelled rows that are not held out; where a class has none, the share of toxic ones."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(F.col("toxic").isin(0, 1) & (crc_fold() != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("h"))
-    single = texts.join(known, "doc_id").groupBy("h", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic")
+    single = texts.join(known.hint("merge"), "doc_id").groupBy("h", "toxic").agg(F.min("doc_id").alias("doc_id"))
     single = stage_table(single, "toxic-train")
-    train = stage_table(only_ids(docs, single).join(single, "doc_id").select("text", "toxic", (crc_fold() == 1).alias("tune")), "toxic-texts")
-    counted = train.where(~F.col("tune")).select("text", "toxic").mapInArrow(_count, "code int, n_ord long, n_tox long")
-    got = counted.groupBy("code").agg(F.sum("n_ord").alias("n_ord"), F.sum("n_tox").alias("n_tox")).orderBy("code").toArrow()
-    codes = got.column("code").to_numpy().astype(np.int64)
-    counts = np.stack([got.column("n_ord").to_numpy(), got.column("n_tox").to_numpy()])
-    if not len(codes) or not counts.sum(1).all():
-        return None
-    each = train.where(~F.col("tune")).groupBy("toxic").count().collect()
+    train = only_ids(docs, single).withColumn("h", F.xxhash64("text"))
+    train = train.join(single.hint("merge"), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
+    train = stage_table(train.select("text", "toxic", (crc_fold() == 1).alias("tune")), "toxic-texts")
+    learnt = train.where(~F.col("tune"))
+    counts = learnt.select("text", "toxic").mapInArrow(_count, "code int, n_ord long, n_tox long")
+    counts = stage_table(counts.groupBy("code").agg(F.sum("n_ord").alias("n_ord"), F.sum("n_tox").alias("n_tox")), "toxic-counts")
     sizes = np.zeros(2)
-    for r in each:
+    for r in learnt.groupBy("toxic").count().collect():
         sizes[r.toxic] = r["count"]
-    model = Model(*fit_models(codes, counts, sizes), 1.0, 0.0)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    ratio = F.pandas_udf(lambda t: pd.Series([shared.value.ratio(x) for x in t], dtype="float64"), "double")
-    tuned = train.where("tune").groupBy(F.round(ratio("text"), 3).alias("bin"), "toxic").count().collect()  # at most 32,000 bins
+    if not sizes.all():
+        discard(single, train, counts)
+        return 1.0 if sizes[1] else 0.0
+    spread = counts.groupBy((F.col("code") % SYMBOLS ** (ORDER - 1)).alias("suffix")).count().orderBy("suffix").toArrow()
+    low = lower_orders(spread.column("suffix").to_numpy().astype(np.int64), spread.column("count").to_numpy())
+    table = np.zeros(SYMBOLS**ORDER, np.int16)
+    got = _blocks(counts, low).toArrow()  # 1,024 blocks of 64 KB at most
+    for block, part in zip(got.column("block").to_pylist(), got.column("ratios"), strict=True):
+        table[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(part.as_buffer(), np.int16)
+    del got
+    model = Model(table, sizes[1] / sizes.sum())
+    tuned = train.where("tune").groupBy(F.round(_ratio_column(model, docs.sparkSession)("text"), 4).alias("bin"), "toxic").count().collect()  # at most 320,000 bins
     bins = np.array(sorted({r.bin for r in tuned}))
     n = np.zeros((2, len(bins)))
     for r in tuned:
         n[r.toxic, np.searchsorted(bins, r.bin)] += r["count"]
     if n.sum(1).all():
-        model.slope, model.middle = _curve(bins, n)
+        model.set_curve(bins, n)
+    discard(single, train, counts)
     return model
 
 
-def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every column of docs and toxic_ratio (log ratio a character) and toxic_score (0 to 1)."""
-    if model is None:
-        return docs.withColumns({"toxic_ratio": F.lit(0.0), "toxic_score": F.lit(0.0)})
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _ratio_column(model: Model, spark):
+    shared = model.shared(spark)
+    return F.pandas_udf(lambda t: pd.Series([_ratio(shared.value, x) for x in t], dtype="float64"), "double")
+
+
+def _curve(model: Model, ratio):
+    x = (ratio - F.lit(model.middle)) / F.lit(model.unit)
+    z = F.lit(model.slope) * F.signum(x) * F.log1p(F.abs(x)) + F.lit(model.offset)
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
 
-    def ratios(t: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.ratio(x) for x in t], dtype="float64")
 
-    r = F.pandas_udf(ratios, "double")(F.col(text_col))
-    s = 1 / (1 + F.exp(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), -F.lit(float(model.slope)) * (F.col("toxic_ratio") - F.lit(float(model.middle)))))))
-    return docs.withColumn("toxic_ratio", r).withColumn("toxic_score", s)
+def score_column(model: Model | float, spark, text_col: str = "text"):
+    """The score (0 to 1) as an expression over a text column."""
+    return F.lit(model) if isinstance(model, float) else _curve(model, _ratio_column(model, spark)(F.col(text_col)))
+
+
+def score(docs: DataFrame, model: Model | float, text_col: str = "text") -> DataFrame:
+    """Every column of docs and toxic_ratio (log ratio a character) and toxic_score (0 to 1)."""
+    if isinstance(model, float):
+        return docs.withColumns({"toxic_ratio": F.lit(0.0), "toxic_score": F.lit(model)})
+    out = docs.withColumn("toxic_ratio", _ratio_column(model, docs.sparkSession)(F.col(text_col)))
+    return out.withColumn("toxic_score", _curve(model, F.col("toxic_ratio")))
