@@ -50,7 +50,7 @@ def oracle(text: str, columns: list[str], **relations: str) -> str:
     for name in re.findall(r"\{(\w+)\}", text):
         add(name)
     text = re.sub(r"\{(\w+)\}", r"in_\1", text)
-    head = ", ".join(f"in_{n} as (select * from ({b}) {n}_)" for n, b in used.items())
+    head = ", ".join(f"in_{n} as materialized (select * from ({b}) {n}_)" for n, b in used.items())
     cols = ", ".join(f"cast({c} as {TYPES.get(c, 'double')}) as {c}" for c in columns)
     return doubles(f"with {head} select {cols} from ({text}) result_")
 
@@ -102,8 +102,8 @@ def sql_query(text: str, columns: list[str], **names: str) -> Query:
     return Query(run, oracle(text, columns, **bodies))
 
 
-def block_query(kernel: Callable, sql: str | None, source: str = "px", columns: list[str] | None = None) -> Query:
-    """A kernel over blocks against SQL over relations."""
+def block_query(kernel: Callable, sql: str | None, source: str = "px", columns: list[str] | None = None, **relations: str) -> Query:
+    """A kernel over blocks against SQL over relations; relations: further ones, computed once."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         blocks = I.vector_images(spark, d) if source in ("px", "bin") else B.from_pixels(frame(spark, d, "big"))
@@ -113,5 +113,5 @@ def block_query(kernel: Callable, sql: str | None, source: str = "px", columns:
         return typed(out, XYV)
 
     if sql is not None:
-        sql = oracle(f"select image_id, y, x, round(v, 4) + 0.0 as v from ({sql}) k_", columns or XYV)
+        sql = oracle(f"select image_id, y, x, round(v, 4) + 0.0 as v from ({sql}) k_", columns or XYV, **relations)
     return Query(run, sql)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gridlake.operators import pixels as P
 from gridlake.plans import image_queries as Q
-from gridlake.plans.common import doubles, frame
+from gridlake.plans.common import XYV, doubles, frame, oracle
 from gridlake.sources import images as I
 
 
@@ -29,10 +29,12 @@ def test_variants_equal_the_warp_in_sql(spark, sf_dir):
         assert all(abs(a[p] - float(b[p])) <= 1e-4 for p in a), tid
 
 
-def test_parameters_of_the_second_engine(spark, sf_dir):
+def test_other_steps_in_the_second_engine(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"create view embeddings as select * from read_parquet('{sf_dir}/embeddings.parquet')")
-    rel = con.execute(Q.Q["q011_reference_images"].sql)
+    grid = [(j, i, r) for j in (-1, 0, 1) for i in (-1, 0, 1) for r in (-1, 0, 1)]
+    text = " union all ".join(f"select {k} as tid, w{k}.* from ({P.warp_affine(P.euclidean(1.0 * j, 1.0 * i, r * 0.5), 8, 8, 255.0)}) w{k}" for k, (j, i, r) in enumerate(grid))
+    rel = con.execute(oracle(text, ["tid", *XYV], f="select * from {px} where image_id < 20"))
     want = {tuple(r[:4]): r[4] for r in rel.fetchall()}
     few = I.vector_images(spark, sf_dir).where("image_id < 20")
     got = {(r.tid, r.image_id, r.y, r.x): r.v for r in Q.reference_variants(few, 1, 1, 1.0, 0.5).collect()}
