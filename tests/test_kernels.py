@@ -145,3 +145,124 @@ def test_templates_too_small_for_their_levels_are_refused():
 def test_resized_halves_as_two_by_two_means():
     a = np.floor(RNG.uniform(0, 256, (8, 6)))
     assert (V.resized(a, 4, 3) == np.floor(a.reshape(4, 2, 3, 2).mean((1, 3)) + 0.5)).all()
+
+
+def test_clahe_pixel_by_pixel():
+    a = np.floor(RNG.uniform(0, 256, (1, 18, 22)))
+    gx, gy, clip = 3, 2, 3.0
+    th, tw = 9, 8
+    p = np.pad(a[0], ((0, 0), (0, 2)), mode="reflect")
+    tables = {}
+    for ty in range(gy):
+        for tx in range(gx):
+            tile = p[ty * th : (ty + 1) * th, tx * tw : (tx + 1) * tw].astype(int).ravel()
+            h = [0] * 256
+            for v in tile:
+                h[v] += 1
+            limit = max(int(clip * tile.size / 256), 1)
+            over = sum(max(n - limit, 0) for n in h)
+            h = [min(n, limit) + over // 256 + (k < over % 256) for k, n in enumerate(h)]
+            total, table = 0, []
+            for n in h:
+                total += n
+                table.append(min(max(math.floor(total * 255.0 / tile.size + 0.5), 0), 255))
+            tables[ty, tx] = table
+    got = V.clahe(a, clip, gx, gy)[0]
+    for y in range(18):
+        for x in range(22):
+            fy, fx = y / th - 0.5, x / tw - 0.5
+            y0, x0 = math.floor(fy), math.floor(fx)
+            wy, wx = fy - y0, fx - x0
+            at = lambda j, i: tables[min(max(j, 0), gy - 1), min(max(i, 0), gx - 1)][int(a[0, y, x])]  # noqa: B023, E731
+            want = (at(y0, x0) * (1 - wx) + at(y0, x0 + 1) * wx) * (1 - wy) + (at(y0 + 1, x0) * (1 - wx) + at(y0 + 1, x0 + 1) * wx) * wy
+            assert abs(got[y, x] - want) < 1e-9
+
+
+def thinned(a, rounds):
+    """Two passes a round, pixel by pixel; a pixel outside counts as foreground."""
+    h, w = a.shape
+    out = (a > 0).astype(int)
+    n = 0
+    while True:
+        for second in (False, True):
+            gone = []
+            for y in range(h):
+                for x in range(w):
+                    ring = [out[y + j, x + i] if 0 <= y + j < h and 0 <= x + i < w else 1 for j, i in ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))]
+                    up, right, down, left = ring[0], ring[2], ring[4], ring[6]
+                    rises = sum(ring[k] == 0 and ring[(k + 1) % 8] == 1 for k in range(8))
+                    free = up * right * left == 0 and up * down * left == 0 if second else up * right * down == 0 and right * down * left == 0
+                    if out[y, x] and rises == 1 and 2 <= sum(ring) <= 6 and free:
+                        gone.append((y, x))
+            for y, x in gone:
+                out[y, x] = 0
+        n += 1
+        if n == rounds or not gone:
+            return out
+
+
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_thinning_pixel_by_pixel(rounds):
+    a = np.where(S.gaussian(RNG.uniform(0, 255, (3, 14, 17)), 0, 1.2) > 125, 255.0, 0.0)
+    got = M.thin(a, rounds)
+    for i in range(3):
+        assert ((got[i] > 0) == (thinned(a[i], rounds) > 0)).all()
+
+
+def test_pruning_takes_spurs_and_grows_ends_back():
+    a = np.zeros((1, 15, 15))
+    a[0, 7, 2:13] = 255  # a line with a spur of two pixels
+    a[0, 5:7, 7] = 255
+    out = M.prune(a, 2)[0] > 0
+    assert out[7, 2:13].all() and not out[5, 7]
+
+
+def test_low_contrast_basins_are_filled():
+    a = np.full((1, 7, 15), 100.0)
+    a[0, 3, 3], a[0, 3, 11] = 90.0, 40.0
+    out = M.reconstruct_down(a + 20, a)
+    assert out[0, 3, 3] == out[0, 0, 0] == 100 and out[0, 3, 11] == 60
+
+
+def test_superpixels_pixel_by_pixel():
+    lab = [np.floor(RNG.uniform(0, 100, (9, 9))) for _ in range(3)]
+    centres, labels = V.superpixels(lab, 3, 3, 5.0, 1)
+    first, _ = V.superpixels(lab, 3, 3, 5.0, 0)
+    area = 9.0
+
+    def nearest(c, y, x):
+        cost = [sum((lab[k][y, x] - s[2 + k]) ** 2 for k in range(3)) + ((y - s[0]) ** 2 + (x - s[1]) ** 2) / area * 25 for s in c.reshape(9, 5)]
+        return int(np.argmin(cost))
+
+    assert first[0, 0, 0] == first[0, 0, 1] == 1.5 and first[0, 0, 2] == lab[0][2, 2]
+    near = np.array([[nearest(first, y, x) for x in range(9)] for y in range(9)])
+    for k in range(9):
+        at = np.argwhere(near == k)
+        want = [*at.mean(0), *(lab[j][near == k].mean() for j in range(3))] if len(at) else first.reshape(9, 5)[k]
+        assert np.allclose(centres.reshape(9, 5)[k], want)
+    assert (labels == [[nearest(centres, y, x) for x in range(9)] for y in range(9)]).all()
+
+
+def test_a_drawn_circle_is_found():
+    yy, xx = np.mgrid[:48, :48]
+    a = np.where((yy - 22) ** 2 + (xx - 26) ** 2 <= 11**2, 220.0, 20.0)[None]
+    cx, cy, radius, votes = V.hough_circles(a, 1.0, 10.0, 200.0, 12, 6, 16)[0]
+    best = int(np.argmax(votes))
+    assert abs(cx[best] - 26) <= 1.5 and abs(cy[best] - 22) <= 1.5 and abs(radius[best] - 11) <= 1
+
+
+def test_spectra_multiply_to_circular_convolution_and_correlation():
+    a, b = RNG.normal(size=(2, 1, 5, 6))
+    for correlation in (False, True):
+        got = np.fft.ifft2(S.multiply_spectra(np.fft.fft2(a), np.fft.fft2(b), 0.5, correlation)).real[0]
+        for y in range(5):
+            for x in range(6):
+                sign = 1 if correlation else -1
+                want = 0.5 * sum(b[0, j, i] * a[0, (y + sign * j) % 5, (x + sign * i) % 6] for j in range(5) for i in range(6))
+                assert abs(got[y, x] - want) < 1e-9
+
+
+def test_illuminance_follows_its_guide():
+    a, guide = RNG.uniform(0, 255, (2, 1, 12, 12))
+    g = S.gaussian(guide[None] if guide.ndim == 2 else guide, 5, 5 / 6)
+    assert np.allclose(V.illuminance(a, 0.4, guide), a * (1 - 0.4 * (g - 128) / 128))
