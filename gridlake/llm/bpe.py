@@ -35,7 +35,10 @@ from tokenizers.pre_tokenizers import ByteLevel
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Outside of these ranges the classes of letters, digits and spaces may differ by Unicode version.
 _RARE = re.compile("[^\0-\u0557\u2000-\u208e\u20a0-\ua7cd]")
-MEMO_ENTRIES = 800_000
+#: Runs of white space as both cutters know it, and what follows.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_RUNS = re.compile(f"([{_SPACE}]*)([^{_SPACE}]+)|([{_SPACE}]+)")
+MEMO_ENTRIES, COUNTED = 200_000, 250_000  # of pieces of at most LONGEST_LEXICON_WORD characters, so in bounded memory
 LONGEST_LEXICON_WORD = 64
 
 
@@ -189,17 +192,20 @@ class Encoder(dict):
         self.v, self.lexicon = vocabulary, lexicon
 
     def __missing__(self, piece: str):
-        """piece: from one space to the next, without them; or from a line feed on, with it."""
-        body = piece[1:] if piece[:1] == "\n" else piece
-        if body[:1].isspace() or body[-1:].isspace() or not piece:
+        """piece: what stands between two spaces, without them; or from another white-space character on,
+        with it."""
+        own = piece[:1].isspace()
+        body = piece[1:] if own else piece
+        if body[:1].isspace() or body[-1:].isspace() or not body:
             ids = None
         else:
-            w = piece if piece[0] == "\n" else " " + piece
+            w = piece if own else " " + piece
             ids = self.lexicon.get(w.encode()) if self.lexicon else None
             ids = tuple(self.v.merge(w) if ids is None else ids)
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        self[piece] = ids
+        if len(piece) <= LONGEST_LEXICON_WORD:
+            if len(self) >= MEMO_ENTRIES:
+                self.clear()
+            self[piece] = ids
         return ids
 
     def _plain(self, text: str) -> list[int]:
@@ -210,7 +216,26 @@ class Encoder(dict):
             ids = [self[p] for p in pieces]
             if None not in ids:
                 return [*self.v.merge(head), *chain.from_iterable(ids)]
-        return self.v.merge(text)
+        return self._spaced(text)
+
+    def _spaced(self, text: str) -> list[int]:
+        """Any white space: all of a run but its last character is cut off before that character joins the
+        word that follows; at the end of the text the run is whole."""
+        out: list[int] = []
+        for m in _RUNS.finditer(text):
+            space, body = (m[3], "") if m[3] else (m[1], m[2])
+            if len(space) > 1 or not body:
+                run = space[:-1] if body else space
+                out += self.v.merge(run)
+            if body:
+                if not space:
+                    out += self.v.merge(body)
+                    continue
+                ids = self[body if space[-1] == " " else space[-1] + body]
+                if ids is None:
+                    return self.v.merge(text)
+                out += ids
+        return out
 
     def encode(self, text: str) -> list[int]:
         if self.v.cut is None or not any(s in text for s in self.v.special):
@@ -253,8 +278,9 @@ def frequent_pieces(docs: DataFrame, size: int = 32_768, text_col: str = "text")
                     pieces = t.replace("\n", " \n").split(" ")
                     seen.update(pieces)
                     total += len(pieces)
-            if len(seen) > 1_000_000:  # what occurs once here is counted anew; bounded memory
-                seen = Counter({w: n for w, n in seen.items() if n > 1})
+            if len(seen) > COUNTED:  # what is rare so far is counted anew; this only chooses words, ids are exact
+                rare = total // (4 * COUNTED) + 1
+                seen = Counter({w: n for w, n in seen.items() if n > rare and len(w) <= LONGEST_LEXICON_WORD})
         least = max(2, total / size)
         kept = [(w, n) for w, n in seen.items() if n >= least and w and len(w) <= LONGEST_LEXICON_WORD]
         yield pa.RecordBatch.from_arrays(
@@ -271,7 +297,7 @@ def ship_lexicon(docs: DataFrame, vocabulary_path: str, size: int = 32_768) -> s
     words: dict[bytes, list[int]] = {}
     for piece, _ in frequent_pieces(docs, size):
         if encoder[piece] is not None:
-            words[(piece if piece[0] == "\n" else " " + piece).encode()] = list(encoder[piece])
+            words[(piece if piece[0].isspace() else " " + piece).encode()] = list(encoder[piece])
     if not words:
         return None
     data = Lexicon.compile(words)

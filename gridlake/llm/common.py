@@ -55,6 +55,13 @@ def discard(*tables: DataFrame) -> None:
         at.getFileSystem(jsc.hadoopConfiguration()).delete(at, True)
 
 
+def free_name(name: str, taken) -> str:
+    """name, with underscores behind it until no column of taken has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def crc_fold(doc_id: str = "doc_id"):
     """crc32 of the id as text, mod 5; fold 0 is held out from all training."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)).cast("int")
@@ -68,16 +75,14 @@ def held_out(doc_id: str = "doc_id"):
 FILTER_BITS = 1 << 23
 
 
-def _bucket(col):
-    return F.pmod(F.xxhash64(col.cast("long")), F.lit(FILTER_BITS))
+def id_bucket(id_col: str):
+    return F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(FILTER_BITS))
 
 
-def only_ids(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of df whose id may be in ids: a bitmap of fixed size (1 MB) drops most others at the
-    scan, before an exact join moves them. Never drops a row whose id is in ids."""
-    b = _bucket(F.col(id_col))
+def id_bits(ids: DataFrame, id_col: str = "doc_id"):
+    """A bitmap of fixed size (1 MB) of the ids, as a broadcast variable for bits_hold()."""
     parts = (
-        ids.select((b + 1).alias("b"))  # bitmap functions count from 1
+        ids.select((id_bucket(id_col) + 1).alias("b"))  # bitmap functions count from 1
         .groupBy(F.bitmap_bucket_number("b").alias("n"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
         .collect()  # at most FILTER_BITS / 32768 rows of 4 KB
@@ -88,12 +93,17 @@ def only_ids(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame
         got = np.unpackbits(np.frombuffer(bytes(bits), np.uint8), bitorder="little")
         at = lo + np.flatnonzero(got)
         flags[at] = True
-    shared = df.sparkSession.sparkContext.broadcast(np.packbits(flags).tobytes())
+    return ids.sparkSession.sparkContext.broadcast(np.packbits(flags).tobytes())
 
-    def may_hold(v: pd.Series) -> pd.Series:
-        bits = np.frombuffer(shared.value, np.uint8)
-        x = v.to_numpy(np.int64)
-        return pd.Series((bits[x >> 3] >> (7 - (x & 7))) & 1 == 1)
 
-    return df.where(F.col(id_col).isNotNull()).where(F.pandas_udf(may_hold, "boolean")(b))
+def bits_hold(bits: bytes, bucket: np.ndarray) -> np.ndarray:
+    """Which buckets (of id_bucket) the bitmap holds."""
+    return (np.frombuffer(bits, np.uint8)[bucket >> 3] >> (7 - (bucket & 7))) & 1 == 1
 
+
+def only_ids(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of df whose id may be in ids: the bitmap drops most others at the scan, before an exact join
+    moves them. Never drops a row whose id is in ids."""
+    shared = id_bits(ids)
+    may_hold = F.pandas_udf(lambda v: pd.Series(bits_hold(shared.value, v.to_numpy(np.int64))), "boolean")
+    return df.where(F.col(id_col).isNotNull()).where(may_hold(id_bucket(id_col)))

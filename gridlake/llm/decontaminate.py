@@ -6,11 +6,14 @@ Where it reaches a window's length the last words of it are hit, and the state's
 item shorter than a window is a window as a whole. Spans of hit words are removed when they exceed the
 length limit, and a document of which too large a share is hit loses all its text.
 
-Items are taken in blocks of at most BLOCK_WORDS words, an automaton each; a document passes all
-blocks in turn and its hits are united, so what is broadcast is bounded however large the benchmark.
+Items are taken in blocks of at most BLOCK_WORDS words, an automaton each. A single block streams over
+the documents and gives their hits beside them. Of several, each is a pass of its own that writes the
+hits of the texts it meets, under the texts' MD5, and texts take the union of their hits at last; so a
+worker holds one automaton of bounded size, however large the benchmark is.
 
 Null or wordless texts and items have no words and no hits; items of equal words all count; item ids
-that repeat count once; an empty benchmark hits nothing.
+that repeat count once; an empty benchmark hits nothing. Hits are one struct, the last column, whose name
+gets underscores behind it until no kept column has it.
 """
 
 from __future__ import annotations
@@ -18,12 +21,13 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterable
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import ALNUM
+from gridlake.llm.common import ALNUM, discard, free_name, stage_table
 
 WINDOW = 10
 BLOCK_WORDS = 400_000
@@ -170,87 +174,158 @@ def _blocks(items: DataFrame, id_col: str, text_col: str):
         yield held
 
 
-SPANS = "hits array<array<long>>, items array<string>, n_words long"
-_KINDS = [pa.list_(pa.list_(pa.int64())), pa.list_(pa.string()), pa.int64()]
+FOUND = "hits array<array<long>>, items array<string>, n_words long"
+_KINDS = {"hits": pa.list_(pa.list_(pa.int64())), "items": pa.list_(pa.string()), "n_words": pa.int64()}
+_NONE = "cast(array() as array<array<long>>) as hits, cast(array() as array<string>) as items"
+
+
+def _column(found: dict[str, list]) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(found[k], t) for k, t in _KINDS.items()], list(_KINDS))
 
 
 def find_hits(
     docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text", keep: tuple[str, ...] = ("doc_id", "text")
 ) -> DataFrame:
-    """The kept columns of docs with hits (spans of word positions), items (sorted distinct ids, null
-    ids left out) and n_words."""
-    out = docs.select(*keep, F.expr("cast(array() as array<array<long>>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"), F.lit(0).cast("long").alias("n_words"))
-    spark, schema = docs.sparkSession, out.select(*keep)._jdf.schema().toDDL()
-    at = out.columns.index(text_col)
-    for block in _blocks(items, id_col, text_col) if items.take(1) else ():
-        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
-        out = out.mapInArrow(_pass(shared, window, at), f"{schema}, {SPANS}")
-    if not items.take(1):
-        n = F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), lambda w: w != ""))
-        out = out.withColumn("n_words", n.cast("long"))
-    return out
+    """The kept columns of docs and, last, a struct `found`: hits (spans of word positions), items (sorted
+    distinct ids, null ids left out) and n_words."""
+    kept, name = docs.select(*keep), free_name("found", keep)
+    blocks = _blocks(items, id_col, text_col)
+    first = next(blocks, None)
+    second = next(blocks, None) if first else None
+    if first and not second:
+        schema = f"{kept._jdf.schema().toDDL()}, `{name}` struct<{FOUND.replace(' ', ':').replace(',:', ', ')}>"
+        return kept.mapInArrow(_pass(_shared(docs, first), window, kept.columns.index(text_col), name), schema)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    n_words = F.size(F.filter(F.split(text, "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), lambda w: w != "")).cast("long")
+    if not first:
+        return kept.withColumn(name, F.expr(f"struct({_NONE})").withField("n_words", n_words))
+    texts = docs.select(F.md5(text_col).alias("key"), F.col(text_col).alias("text"))
+    parts = [stage_table(texts.mapInArrow(_met(_shared(docs, b), window), f"key string, {FOUND}").dropDuplicates(["key"]), "benchmark-hits") for b in chain((first, second), blocks)]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.union(part)
+    both = every.groupBy("key").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    met = stage_table(both.mapInArrow(_united, "key string, hits array<array<long>>, items array<string>"), "benchmark-hits")
+    discard(*parts)
+    hit = F.col("m.hits").isNotNull()
+    out = kept.select(F.struct(*keep).alias("row"), F.md5(text_col).alias("key"), n_words.alias("n")).join(met.alias("m"), "key", "left")
+    found = F.struct(*(F.when(hit, F.col(f"m.{c}")).otherwise(F.expr(f"cast(array() as {t})")).alias(c) for c, t in (("hits", "array<array<long>>"), ("items", "array<string>"))), F.col("n").alias("n_words"))
+    return out.select("row.*", found.alias(name))
+
+
+def _shared(docs: DataFrame, block: list):
+    return docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block))
 
 
 _automata: dict[tuple, Automaton] = {}
 
 
-def _pass(shared, window: int, at: int):
+def _automaton(shared, window: int) -> Automaton:
+    key = (shared.value[0], window)
+    if key not in _automata:
+        _automata.clear()
+        _automata[key] = Automaton(shared.value[1], window)
+    return _automata[key]
+
+
+def _found(texts, auto: Automaton) -> dict[str, list]:
+    out: dict[str, list] = {k: [] for k in _KINDS}
+    for t in texts:
+        words = words_of(t.as_py())
+        spans, items = auto.hits(words)
+        out["hits"].append(spans)
+        out["items"].append(sorted({auto.names[i] for i in items if auto.names[i] is not None}))
+        out["n_words"].append(len(words))
+    return out
+
+
+def _pass(shared, window: int, at: int, name: str, removal: tuple[int, float] | None = None):
+    """Batches with their hits beside them; removal: without, and with the spans taken out of the text."""
+
     def run(batches):
-        key = (shared.value[0], window)
-        if key not in _automata:
-            _automata.clear()
-            _automata[key] = Automaton(shared.value[1], window)
-        auto = _automata[key]
+        auto = _automaton(shared, window)
         for b in batches:
-            n = b.num_columns
-            hits, items, sizes = [], [], []
-            for t, h, x in zip(b.column(at), b.column(n - 3).to_pylist(), b.column(n - 2).to_pylist(), strict=True):
-                words = words_of(t.as_py())
-                spans, found = auto.hits(words)
-                hits.append(_union(h, spans) if h else spans)
-                items.append(sorted({*x, *(auto.names[i] for i in found if auto.names[i] is not None)}) if found else x)
-                sizes.append(len(words))
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[: n - 3], *(pa.array(v, k) for v, k in zip((hits, items, sizes), _KINDS, strict=True))], b.schema.names
-            )
+            if removal:
+                found = _found(b.column(at), auto)
+                texts = [_without(t.as_py(), h, n, *removal) for t, h, n in zip(b.column(at), found["hits"], found["n_words"], strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(texts, pa.string()), *b.columns[at + 1 :]], b.schema.names)
+                continue
+            yield pa.RecordBatch.from_arrays([*b.columns, _column(_found(b.column(at), auto))], [*b.schema.names, name])
 
     return run
 
 
+def _met(shared, window: int):
+    """Keys and hits of the texts that have hits."""
+
+    def run(batches):
+        auto = _automaton(shared, window)
+        for b in batches:
+            found = _found(b.column(1), auto)
+            some = pa.array([i for i, h in enumerate(found["hits"]) if h], pa.int64())
+            out = pa.RecordBatch.from_arrays([b.column(0), *(pa.array(found[k], t) for k, t in _KINDS.items())], ["key", *_KINDS])
+            yield out.take(some)
+
+    return run
+
+
+def _united(batches):
+    for b in batches:
+        hits = [_union(h, []) for h in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hits, _KINDS["hits"]), b.column(2)], b.schema.names)
+
+
+def _without(text: str | None, hits: list, n_words: int, longest: int, coverage: float) -> str | None:
+    if not hits:
+        return text
+    if sum(y - x for x, y in hits) > coverage * n_words:
+        return ""
+    places = [m.span() for m in _WORDS.finditer(text)]
+    for x, y in reversed(hits):
+        if y - x >= longest:
+            text = text[: places[x][0]] + text[places[y - 1][1] :]
+    return text
+
+
 def remove_spans(found: DataFrame, longest: int = WINDOW, coverage: float = 0.8, text_col: str = "text") -> DataFrame:
     """Takes hit spans of at least longest words out of the texts; a text of which more than coverage
     is hit becomes empty. Documents without hits keep their text as it is; no row is dropped."""
     at = found.columns.index(text_col)
-    hits, total = found.columns.index("hits"), found.columns.index("n_words")
 
     def run(batches):
         for b in batches:
-            texts = []
-            for t, h, n in zip(b.column(at), b.column(hits).to_pylist(), b.column(total).to_pylist(), strict=True):
-                t = t.as_py()
-                if h:
-                    places = [m.span() for m in _WORDS.finditer(t)]
-                    if sum(y - x for x, y in h) > coverage * n:
-                        t = ""
-                    for x, y in reversed(h if t else []):
-                        if y - x >= longest:
-                            t = t[: places[x][0]] + t[places[y - 1][1] :]
-                texts.append(t)
+            got = b.column(b.num_columns - 1)
+            rows = zip(b.column(at), got.field("hits").to_pylist(), got.field("n_words").to_pylist(), strict=True)
             cols = list(b.columns)
-            cols[at] = pa.array(texts, pa.string())
+            cols[at] = pa.array([_without(t.as_py(), h, n, longest, coverage) for t, h, n in rows], pa.string())
             yield pa.RecordBatch.from_arrays(cols, b.schema.names)
 
     return found.mapInArrow(run, found._jdf.schema().toDDL())
 
 
+def clean(
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, longest: int = WINDOW, coverage: float = 0.8, id_col: str = "item_id", text_col: str = "text"
+) -> DataFrame:
+    """docs with remove_spans() applied to what find_hits() finds; with one block of items both are one
+    Python step."""
+    blocks = _blocks(items, id_col, text_col)
+    first = next(blocks, None)
+    if first and not next(blocks, None):
+        run = _pass(_shared(docs, first), window, docs.columns.index(text_col), "", (longest, coverage))
+        return docs.mapInArrow(run, docs._jdf.schema().toDDL())
+    found = find_hits(docs, items, window, id_col, text_col, tuple(docs.columns))
+    return remove_spans(found, longest, coverage, text_col).drop(found.columns[-1])
+
+
 def digest(found: DataFrame) -> DataFrame:
-    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
+    got = F.col(found.columns[-1])
+    n_hit = F.aggregate(got["hits"], F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
     return found.select(
         "doc_id",
-        "n_words",
+        got["n_words"].alias("n_words"),
         n_hit.alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        F.size(got["items"]).cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", got["items"]), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import LOWER, discard, only_ids, stage_table
+from gridlake.llm.common import LOWER, bits_hold, discard, id_bits, id_bucket, stage_table
 from gridlake.llm.components import components
 
 BINS, BANDS, ROWS = 512, 64, 8
@@ -129,13 +129,19 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
+def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """doc_id and shingles of the documents whose id is in ids, and maybe of a few more. Filter and
+    shingles are one Python step, so that a task has one worker."""
+    shared = id_bits(ids)
+
     def run(batches):
         shingle = Shingler(size)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], ["doc_id", "shingles"])
+            kept = b.filter(pa.array(bits_hold(shared.value, b.column(2).to_numpy())))
+            yield pa.RecordBatch.from_arrays([kept.column(0), pa.array([shingle(t.as_py()).tobytes() for t in kept.column(1)], pa.binary())], ["doc_id", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, shingles binary")
+    known = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", id_bucket("doc_id").alias("bucket"))
+    return known.mapInArrow(run, "doc_id long, shingles binary")
 
 
 def _common(p: np.ndarray, q: np.ndarray) -> int:
@@ -219,7 +225,7 @@ def _linked(spokes: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     as _rims finds them."""
     ends = spokes.select("a").union(spokes.select("b")).distinct()
     nodes = stage_table(ends.select(F.col("a").alias("node"), F.col("a").alias("component")), "nodes")
-    sets = stage_table(_sets(only_ids(docs, nodes.select(F.col("node").alias("doc_id"))), size).dropDuplicates(["doc_id"]), "sets")
+    sets = stage_table(_sets(docs, nodes.select(F.col("node").alias("doc_id")), size).dropDuplicates(["doc_id"]), "sets")
     # a set of one size can reach the similarity with sets of similar sizes only
     fitting = spokes.where(f"100 * least(n, m) >= {percent} * greatest(n, m)")
     first = stage_table(fitting.groupBy("b").agg(F.min("a").alias("a")), "pairs")

@@ -14,7 +14,8 @@ Counts are of documents (an n-gram counts once in each), and documents of equal
 copies teach nothing twice. Learning reads only labelled rows of folds 1 to 4 (crc32 of the id as text,
 mod 5): folds 2 to 4 give counts, fold 1 the curve, with the classes' own shares. The counts are summed
 by Spark and grow with the corpus up to 32^5 n-grams; the driver gets at most 32^4 continuation counts and
-the finished table of 32^5 ratios of two bytes, whatever the size; the curve is fitted on a histogram.
+the finished table, 64 bytes for each context of four symbols that occurs, 68 MB at the very most; the
+curve is fitted on a histogram.
 
 A null or empty text has ratio 0. Where fold 1 lacks a class, every score is the share of toxic training
 documents; without labels of both classes it is 1 if there are only toxic ones, else 0. Null ids are never
@@ -102,7 +103,7 @@ def lower_orders(suffix: np.ndarray, kinds: np.ndarray) -> np.ndarray:
 
 
 def ratios(block: int, codes: np.ndarray, counts: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """Log ratios toxic : ordinary of all n-grams of a block, against their mean in ordinary text after
+    """(contexts, SYMBOLS): log ratios toxic : ordinary of all n-grams of a block, against their mean in ordinary text after
     the same context. codes: those seen; counts: their document counts (row 0 ordinary, row 1 toxic);
     low: as lower_orders gives it."""
     at = codes - block * BLOCK
@@ -122,28 +123,39 @@ def ratios(block: int, codes: np.ndarray, counts: np.ndarray, low: np.ndarray) -
     first = np.where(either, kept[0] + back[0] * share, 0.0)
     mean = (first * ratio).sum(1, keepdims=True) + (1 - first.sum(1, keepdims=True)) * np.log(back[1] / back[0])
     ratio -= np.where(either.any(1, keepdims=True), mean, 0.0)
-    return np.clip(np.rint(ratio * STEPS), -32_767, 32_767).astype(np.int16).ravel()
+    return np.clip(np.rint(ratio * STEPS), -32_767, 32_767).astype(np.int16)
 
 
-def _ratio(table: np.ndarray, text: str | None) -> float:
-    return float(table[grams(text)].mean(dtype=np.float64)) / STEPS if text else 0.0
+class Table:
+    """Log ratios by n-gram: a row of SYMBOLS for each context that occurs; row 0, of zeros, is for others."""
+
+    def __init__(self, contexts: np.ndarray, rows: np.ndarray):
+        self.row_of = np.zeros(SYMBOLS ** (ORDER - 1), np.int32)
+        self.row_of[contexts] = np.arange(1, len(contexts) + 1)
+        self.rows = np.concatenate([np.zeros((1, SYMBOLS), np.int16), rows])
+
+    def mean(self, text: str | None) -> float:
+        if not text:
+            return 0.0
+        g = grams(text)
+        return float(self.rows[self.row_of[g // SYMBOLS], g % SYMBOLS].mean(dtype=np.float64)) / STEPS
 
 
 class Model:
-    """Log ratios by n-gram code, 32^5 in two bytes each, and the curve of the score: a logistic function
+    """A table of log ratios and the curve of the score: a logistic function
     of the ratio's distance from middle, in units, on a logarithmic scale."""
 
-    def __init__(self, table: np.ndarray, share: float):
+    def __init__(self, table: Table, share: float):
         self.table, self._shared = table, None
         self.middle, self.unit, self.slope = 0.0, 1.0, 0.0
         self.offset = float(np.log(share / (1 - share)))
 
     def ratio(self, text: str | None) -> float:
         """Centred log-likelihood ratio a character."""
-        return _ratio(self.table, text)
+        return self.table.mean(text)
 
     def shared(self, spark):
-        """The table as a broadcast variable, sent once: 64 MB at every size of the corpus."""
+        """The table as a broadcast variable, sent once; of bounded size."""
         if self._shared is None:
             self._shared = spark.sparkContext.broadcast(self.table)
         return self._shared
@@ -204,19 +216,19 @@ def _count(batches):
 
 
 def _blocks(counts: DataFrame, low: np.ndarray) -> DataFrame:
-    """block, ratios: the table's blocks that hold training n-grams; a group has BLOCK rows at most."""
+    """context and ratios of every context that training documents hold; a group has BLOCK rows at most."""
     shared = counts.sparkSession.sparkContext.broadcast(low.astype(np.float32))
     grouped = counts.groupBy((F.col("code") / BLOCK).cast("int").alias("block")).agg(F.collect_list(F.struct("code", "n_ord", "n_tox")).alias("rows"))
 
     def run(batches):
         for b in batches:
-            out = []
             for block, rows in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 code, ordinary, toxic = (f.to_numpy().astype(np.int64) for f in rows.values.flatten())
-                out.append(ratios(block, code, np.stack([ordinary, toxic]), shared.value).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["block", "ratios"])
+                seen = np.unique(code // SYMBOLS)
+                got = ratios(block, code, np.stack([ordinary, toxic]), shared.value)[seen - block * (BLOCK // SYMBOLS)]
+                yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array([r.tobytes() for r in got], pa.binary())], ["context", "ratios"])
 
-    return grouped.mapInArrow(run, "block int, ratios binary")
+    return grouped.mapInArrow(run, "context int, ratios binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model | float:
@@ -241,11 +253,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return 1.0 if sizes[1] else 0.0
     spread = counts.groupBy((F.col("code") % SYMBOLS ** (ORDER - 1)).alias("suffix")).count().orderBy("suffix").toArrow()
     low = lower_orders(spread.column("suffix").to_numpy().astype(np.int64), spread.column("count").to_numpy())
-    table = np.zeros(SYMBOLS**ORDER, np.int16)
-    got = _blocks(counts, low).toArrow()  # 1,024 blocks of 64 KB at most
-    for block, part in zip(got.column("block").to_pylist(), got.column("ratios"), strict=True):
-        table[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(part.as_buffer(), np.int16)
-    del got
+    got = _blocks(counts, low).toArrow()  # 32^4 rows of 68 bytes at most
+    rows = np.frombuffer(b"".join(got.column("ratios").to_pylist()), np.int16).reshape(-1, SYMBOLS)
+    table = Table(got.column("context").to_numpy(), rows)
+    del got, rows
     model = Model(table, sizes[1] / sizes.sum())
     tuned = train.where("tune").groupBy(F.round(_ratio_column(model, docs.sparkSession)("text"), 4).alias("bin"), "toxic").count().collect()  # at most 320,000 bins
     bins = np.array(sorted({r.bin for r in tuned}))
@@ -260,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def _ratio_column(model: Model, spark):
     shared = model.shared(spark)
-    return F.pandas_udf(lambda t: pd.Series([_ratio(shared.value, x) for x in t], dtype="float64"), "double")
+    return F.pandas_udf(lambda t: pd.Series([shared.value.mean(x) for x in t], dtype="float64"), "double")
 
 
 def _curve(model: Model, ratio):

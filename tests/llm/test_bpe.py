@@ -69,6 +69,27 @@ def _pair():
     return _made
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.sampled_from(" \n\t\r\x0b\x0c\x1c\x1f\x85\xa0\u1680\u2003\u200b\u2028\u202f\u3000'sab1.,é"), max_size=40))
+def test_white_space_of_all_kinds(text):
+    """Runs of white space go through the lexicon's pieces as well."""
+    library, encoder = _pair()
+    assert encoder.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_spaced_texts_use_the_lexicon(encoder):
+    seen = []
+
+    class Words:
+        def get(self, w):
+            seen.append(w)
+
+    own = bpe.Encoder(encoder.v, Words())
+    text = "def f(x):\n\n    return  x\n"
+    assert own.encode(text) == encoder.encode(text)
+    assert {b" f(x):", b" return", b" x"} <= set(seen)
+
+
 def test_lexicon_is_minimal_and_exact(tmp_path):
     rng = random.Random(1)
     words = {bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 9))): [rng.randrange(50_000) for _ in range(rng.randrange(1, 4))] for _ in range(2_000)}

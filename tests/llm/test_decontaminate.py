@@ -73,6 +73,19 @@ def test_empty_tables_extra_columns_and_repeats(spark):
     assert sorted(r.n_words for r in none) == [0, 11, 11] and not any(r.contaminated for r in none)
 
 
+def test_clashing_names_are_kept(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "x a b c d", 5, 6, "f", "k"), (2, "y", 7, 8, "g", "l")], "doc_id long, text string, hits long, n_words long, found string, key string")
+    items = spark.createDataFrame([("q", "a b c d"), ("r", "z z z z")], "item_id string, text string")
+    for words in (1_000, 4):
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", words)
+        found = decontaminate.find_hits(docs, items, 3, keep=tuple(docs.columns))
+        assert found.columns == [*docs.columns, "found_"]
+        out = sorted(map(tuple, decontaminate.remove_spans(found, longest=3).select(*docs.columns).collect()))
+        assert out == [(1, "x ", 5, 6, "f", "k"), (2, "y", 7, 8, "g", "l")]
+        assert sorted(map(tuple, decontaminate.clean(docs, items, 3, 3).collect())) == out
+        assert sorted((r.doc_id, r.n_hit, r.n_words) for r in decontaminate.digest(found).collect()) == [(1, 4, 5), (2, 0, 1)]
+
+
 def test_spans_are_removed_and_the_rest_stays(spark):
     item = "one two three four five six seven eight nine ten eleven"
     texts = {

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from test_line_dedup import prose
@@ -30,6 +31,39 @@ def test_run_equals_its_stages(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     assert 0 < got.count() <= docs.count()
     assert got.select("doc_id").distinct().count() == got.count()
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+    assert sorted(map(tuple, got.select("doc_id", "n_tokens", "ids_sha256").collect())) == sorted(map(tuple, docs.select("doc_id", "n_tokens", "ids_sha256").collect()))
+
+
+NAMES = ("hits", "items", "n_words", "found", "key", "toxic_score", "toxic_ratio", "row", "bucket", "h", "component_id", "kept", "n_removed", "__row", "__words", "a", "b")
+
+
+def test_edge_rows_and_clashing_columns(spark, sf_dir):
+    rows = [(None, None), (None, "null id"), (1, None), (2, ""), (3, " \n"), (4, "A text. " * 4_000), (4, "A text. " * 4_000), (5, "x" * 100_000), (6, "one")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(c) for c in NAMES})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.dtypes == docs.dtypes, name
+        got = out.collect()
+        assert len(got) == len(rows), name
+        assert all(r[c] == c for r in got for c in NAMES), name
+        docs = spark.createDataFrame(got, docs.schema)
+    ids = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+    assert len(ids) == len(rows) and all(r.n_tokens == 0 for r in ids if r.doc_id in (1, 2))
+
+
+def test_empty_tables(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.collect() == []
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    some = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20)
+    assert corpus_pipeline.reject_toxic(spark, some, str(tmp_path)).count() == 20
+    assert sorted(map(tuple, corpus_pipeline.decontaminate_spans(spark, some, str(tmp_path)).collect())) == sorted(map(tuple, some.collect()))
 
 
 @pytest.fixture
