@@ -1,4 +1,14 @@
-"""The training-data pipeline: five stages over documents, each on all that the one before kept."""
+"""The training-data pipeline: five stages over documents, each on all that the one before kept.
+
+Null and empty texts are never toxic by themselves (they get the score of no evidence), hold no lines and
+no benchmark words, link with nothing and encode to no ids; their rows stay. A text that line dedup or
+decontamination empties stays as a row with an empty text. Rows with a null id take part in every
+stage but near-dedup, which keeps them. Rows that repeat an id are one document: near-dedup keeps or
+drops them together. Of equally good candidates the smallest id stays. Further columns of documents go
+through unchanged, whatever their names; n_chars, where there is one, follows the text. Empty tables give
+empty results; without labels of both classes the toxicity stage keeps all or, if every label is toxic,
+nothing; an empty benchmark removes nothing.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +25,7 @@ from gridlake.llm.queries import TOKENIZER
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models call toxic go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("toxic_score") < 0.5).select(*docs.columns)
+    return docs.where(toxicity.score_column(model, spark) < 0.5)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +43,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def decontaminate_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of benchmark items go. A hit is a whole window or else a whole item of fewer words, so every
     span is removed, whatever its length."""
-    found = decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return _counted(decontaminate.remove_spans(found, longest=1).select(*docs.columns))
+    return _counted(decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), longest=1))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
