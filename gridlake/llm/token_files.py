@@ -1,16 +1,16 @@
 """Token ids as files: one zstandard frame for each document, a dictionary shared by all.
 
 Format. A folder with two Parquet tables. `dictionary` has one row: its sha256 and bytes (zstandard,
-trained on serialized id arrays; empty if there are too few documents to train one). `blocks` has a
+trained on serialized id arrays; empty if there are too few documents to train one), and id_bytes. `blocks` has a
 row for each block of a shard: shard, block, start (ids of the shard before the block), dict_sha256,
 doc_ids, n_tokens, offsets (where each document's frame begins in payload, and its length at last) and
-payload. Ids are little-endian, 2 bytes each (4 if the vocabulary needs it). Shards follow ascending
-ids; every shard is one task's work, written under Spark's commit protocol, so a lost executor's
+payload. Ids are little-endian, of id_bytes each: 2, or 4 if the vocabulary needs it. Shards follow ascending
+ids, and an id with more rows than a shard takes has several, dealt in turn; every shard is one task's work, written under Spark's commit protocol, so a lost executor's
 shard is written again. To read one document, the row groups' bounds of first_id and last_id and
 its two offsets lead to its frame alone.
 
 Documents with a null id come first; a null text is empty and holds the end id only. Repeated ids
-keep all their rows, in order of their content. An empty table gives empty files.
+keep all their rows, in some order. An empty table gives empty files.
 """
 
 from __future__ import annotations
@@ -32,6 +32,13 @@ DICTIONARY_BYTES = 64 << 10
 #: The dictionary is trained on the documents of least id hash, so many at most, and so many ids of each.
 SAMPLE_DOCUMENTS, SAMPLE_IDS = 1_000, 4_096
 DOCS_A_SHARD, MOST_SHARDS = 8_192, 20_000
+NO_ID = -(1 << 63)  # where rows with a null id stand
+DICTIONARY = "dict_sha256 string, dictionary binary, id_bytes int"
+
+
+def _kind(size: int) -> str:
+    """How ids of a vocabulary of this size are written."""
+    return "<u2" if size <= 1 << 16 else "<u4"
 
 
 def train_dictionary(docs: DataFrame, vocabulary_path: str) -> bytes:
@@ -40,7 +47,7 @@ def train_dictionary(docs: DataFrame, vocabulary_path: str) -> bytes:
     texts = only_ids(docs, ids).join(F.broadcast(ids), "doc_id")
     rows = texts.groupBy("doc_id").agg(F.min("text").alias("t")).orderBy("doc_id").collect()  # SAMPLE_DOCUMENTS at most
     v = Vocabulary(vocabulary_path)
-    e, kind = Encoder(v), "<u2" if v.size <= 1 << 16 else "<u4"
+    e, kind = Encoder(v), _kind(v.size)
     parts = [np.asarray(e.encode(r.t)[:SAMPLE_IDS], kind).tobytes() for r in rows]
     if len(parts) < 100 or sum(map(len, parts)) < 10 * DICTIONARY_BYTES // 8:
         return b""
@@ -56,18 +63,21 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, end_id:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     shared = train_dictionary(docs, vocabulary_path)
     sha = hashlib.sha256(shared).hexdigest()
-    spark.createDataFrame([(sha, bytearray(shared))], "dict_sha256 string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
+    id_bytes = np.dtype(_kind(Vocabulary(vocabulary_path).size)).itemsize
+    spark.createDataFrame([(sha, bytearray(shared), id_bytes)], DICTIONARY).coalesce(1).write.parquet(f"{path}/dictionary")
     total = docs.count()
     shards = min(MOST_SHARDS, max(1, -(-total // DOCS_A_SHARD)))
     cuts = []
     if shards > 1:
-        cuts = docs.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 100 * shards)).first()[0] or []
-    edges = np.asarray(sorted(set(cuts)), np.int64)
+        known = F.coalesce("doc_id", F.lit(NO_ID))
+        cuts = docs.agg(F.percentile_approx(known, [i / shards for i in range(1, shards)], 100 * shards)).first()[0] or []
+    edges = np.asarray(sorted(cuts), np.int64)
 
     def encode(batches):
         e = worker_encoder(vocabulary_path)
-        kind = "<u2" if e.v.size <= 1 << 16 else "<u4"
+        kind = _kind(e.v.size)
         z = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(shared) if shared else None)
+        seen = 0
         for b in batches:
             n, frames = [], []
             for t in b.column(1):
@@ -75,8 +85,12 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, end_id:
                 n.append(len(ids))
                 frames.append(z.compress(ids.tobytes()))
             given = b.column(0)
-            known = np.asarray(given.fill_null(np.iinfo(np.int64).min), np.int64)
-            shard = np.searchsorted(edges, known, side="right").astype(np.int32)
+            known = np.asarray(given.fill_null(NO_ID), np.int64)
+            low, high = np.searchsorted(edges, known, side="left"), np.searchsorted(edges, known, side="right")
+            # an id at several edges has as many shards; rows are counted, so that equal ones part too
+            dealt = (np.fromiter(map(zlib.crc32, frames), np.int64, len(frames)) + seen + np.arange(len(frames))) % np.maximum(high - low, 1)
+            seen += len(frames)
+            shard = (high - dealt).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(shard), given, pa.array(n, pa.int64()), pa.array(frames, pa.binary())],
                 ["shard", "doc_id", "n_tokens", "frame"],
@@ -126,12 +140,13 @@ BLOCKS = "shard int, block int, start long, dict_sha256 string, first_id long, l
 BLOCK_NAMES = [x.split()[0] for x in BLOCKS.split(", ")]
 
 
-def _dictionary(spark: SparkSession, path: str) -> bytes:
-    row = spark.read.parquet(f"{path}/dictionary").first()
+def _dictionary(spark: SparkSession, path: str) -> tuple[bytes, str]:
+    """The dictionary and how ids are written."""
+    row = spark.read.schema(DICTIONARY).parquet(f"{path}/dictionary").first()
     data = bytes(row.dictionary)
     if hashlib.sha256(data).hexdigest() != row.dict_sha256:
         raise ValueError("the dictionary does not match its hash")
-    return data
+    return data, f"<u{row.id_bytes}"
 
 
 def _frames(b: pa.RecordBatch, row: int, sha: str):
@@ -144,16 +159,15 @@ def _frames(b: pa.RecordBatch, row: int, sha: str):
         yield doc_id, n, payload[at[i] : at[i + 1]]
 
 
-def read_token_files(spark: SparkSession, path: str, keep_ids: bool = True, wide: bool = False) -> DataFrame:
+def read_token_files(spark: SparkSession, path: str, keep_ids: bool = True) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, with keep_ids, ids."""
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-    shared = _dictionary(spark, path)
+    shared, kind = _dictionary(spark, path)
     sha = hashlib.sha256(shared).hexdigest()
     # one row for each shard, MOST_SHARDS at most
     totals = blocks.groupBy("shard").agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     starts = totals.select("shard", F.coalesce(before, F.lit(0)).alias("before"))
-    kind = "<u4" if wide else "<u2"
 
     def run(batches):
         z = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(shared) if shared else None)
@@ -183,15 +197,15 @@ def read_token_files(spark: SparkSession, path: str, keep_ids: bool = True, wide
     )
 
 
-def fetch_document(spark: SparkSession, path: str, doc_id: int, wide: bool = False) -> list[list[int]]:
+def fetch_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
     """Ids of one document, a list for each row that has this id; reads only blocks whose bounds allow it."""
-    shared = _dictionary(spark, path)
+    shared, kind = _dictionary(spark, path)
     z = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(shared) if shared else None)
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
     hit = blocks.select(F.arrays_zip(F.col("doc_ids").alias("i"), F.slice("offsets", 1, F.size("doc_ids")).alias("a"), F.slice("offsets", 2, F.size("doc_ids")).alias("b")).alias("z"), "payload")
     hit = hit.select(F.explode(F.filter("z", lambda x: x["i"] == doc_id)).alias("x"), "payload")
     frames = hit.select(F.expr("substring(payload, cast(x.a as int) + 1, cast(x.b - x.a as int))").alias("f")).collect()
-    return [np.frombuffer(z.decompress(bytes(r.f)), "<u4" if wide else "<u2").tolist() for r in frames]
+    return [np.frombuffer(z.decompress(bytes(r.f)), kind).tolist() for r in frames]
 
 
 def round_trip(docs: DataFrame, vocabulary_path: str, end_id: int = 2, keep_ids: bool = False) -> DataFrame:

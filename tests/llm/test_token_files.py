@@ -63,9 +63,32 @@ def test_nulls_repeats_and_empty_tables(spark, library):
     assert token_files.round_trip(df.limit(0), TOKENIZER, END_ID).collect() == []
 
 
+def test_one_id_with_most_rows_has_several_shards(spark, library, monkeypatch):
+    monkeypatch.setattr(token_files, "DOCS_A_SHARD", 20)
+    rows = [(i, "before") for i in range(40)] + [(50, "the same text")] * 150 + [(None, "none")] * 60 + [(60 + i, f"after {i}") for i in range(40)]
+    path = shared_path(spark, "test-hot")
+    token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, TOKENIZER, END_ID)
+    out = token_files.read_token_files(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in out] == sorted((d for d, _ in rows), key=lambda d: -1 if d is None else d)
+    assert [r.start for r in out] == [0, *np.cumsum([r.n_tokens for r in out])[:-1].tolist()]
+    sizes = [len(r.doc_ids) for r in spark.read.parquet(f"{path}/blocks").collect()]
+    assert max(sizes) <= 60 and sum(sizes) == len(rows)
+
+
+def test_ids_of_four_bytes(spark, library, monkeypatch):
+    monkeypatch.setattr(token_files, "_kind", lambda size: "<u4")  # as a vocabulary of more than 65,536 ids would be
+    path = shared_path(spark, "test-wide")
+    token_files.write_token_files(spark.createDataFrame([(1, "a few words"), (2, "")], "doc_id long, text string"), path, TOKENIZER, END_ID)
+    monkeypatch.undo()
+    assert spark.read.parquet(f"{path}/dictionary").first().id_bytes == 4
+    out = {r.doc_id: list(r.ids) for r in token_files.read_token_files(spark, path).collect()}
+    assert out == {1: ids_of(library, "a few words"), 2: [END_ID]}
+    assert token_files.fetch_document(spark, path, 1) == [ids_of(library, "a few words")]
+
+
 def test_a_changed_dictionary_is_found(spark):
     path = shared_path(spark, "test-dictionary")
     token_files.write_token_files(spark.createDataFrame([(1, "a")], "doc_id long, text string"), path, TOKENIZER)
-    spark.createDataFrame([("00", bytearray(b"x"))], "dict_sha256 string, dictionary binary").write.mode("overwrite").parquet(f"{path}/dictionary")
+    spark.createDataFrame([("00", bytearray(b"x"), 2)], token_files.DICTIONARY).write.mode("overwrite").parquet(f"{path}/dictionary")
     with pytest.raises(ValueError):
         token_files.read_token_files(spark, path)
