@@ -27,6 +27,7 @@ OWNED = r"[A-Za-z0-9_-]{20,}"
 KINDS = (("assign", ASSIGN, 2, 6), ("access", ACCESS, 0, 20), ("hex", HEX, 0, 24), ("owned", OWNED, 0, 20))
 BASE = KINDS[:3]
 SALTS = 16
+RUN = 128
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 
@@ -48,7 +49,17 @@ def _places(text: Column, kind: int) -> Column:
             F.struct(end.alias("at"), F.concat(acc["out"], F.array(span).cast(f"array<{SPAN}>")).alias("out"))
         )
 
-    got = F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"])
+    # appending to an array copies it, so matches are placed in runs, and runs after one another
+    first = F.sequence(F.lit(0), F.size(rows) - 1, F.lit(RUN))
+    runs = F.transform(first, lambda i: F.aggregate(F.slice(rows, i + 1, F.lit(RUN)), F.struct(F.lit(0).alias("at"), empty.alias("out")), step))
+    begins = F.aggregate(runs, F.array(F.lit(0)), lambda acc, r: F.concat(acc, F.array(F.element_at(acc, -1) + r["at"])))
+
+    def moved(run: Column) -> Column:
+        by = run["begin"]
+        return F.transform(run["run"]["out"], lambda s: F.struct((s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["end"] + by).alias("end"), s["value"].alias("value")))
+
+    pairs = F.arrays_zip(runs.alias("run"), F.slice(begins, F.lit(1), F.size(runs)).alias("begin"))
+    got = F.flatten(F.transform(pairs, moved)).cast(f"array<{SPAN}>")
     good = F.filter(got, lambda s: F.length(s["value"]) >= least)
     if kind == 3:
         good = F.filter(good, lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]"))
