@@ -6,28 +6,32 @@ scores of the queries that matter, weighs ETA times its orthogonal part. Centres
 of at most SAMPLE distinct vectors, those of least hash; every row is indexed. The index is a table of
 packed codes in the shared folder.
 
-Queries are taken in blocks of at most QUERY_BLOCK. A block's tables of inner products with the centres
-are small and go to every task; each task scans its codes and keeps the RERANK best of each query, the
-best of all tasks are scored exactly on the original vectors (inner product in double precision, summed
-in order of dimensions), and the best k stay. Equal vectors are one entry with their smallest k + 1 ids,
-which are all that a result of k can show, so a vector that many rows share fills no list.
-
-Vectors null, zero or with null or non-finite components take no part, nor do null ids; vectors of
-another length than most take no part. Ties go to the smaller id; with fewer candidates than k all are
-returned. Repeated ids are candidates each. An empty table gives an empty result.
+Queries are taken in blocks. A block's tables of inner products with the centres are small and go to
+every task; each task scans its codes and sends, for each query, the numbers and approximate scores of
+its best entries, as many as depth() says: RERANK, and half the root of the number of entries where that
+is more. Of all tasks' the best as many are joined with their vectors and scored exactly (inner product in
+double precision, summed in order of dimensions), and the best k stay. Equal vectors are one entry with
+their smallest k + 1 ids, which are all that a result of k can show, so a vector that many rows share
+fills no list.
+
+Vectors null, zero or with null or non-finite components take no part, nor do null ids. Vectors of
+different lengths have no inner product: each length is searched on its own, so every other row takes
+part. Components keep the precision of their column, float or double. Ties go to the smaller id; with
+fewer candidates than k all are returned. Repeated ids are candidates each. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import heapq
-import uuid
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import stage_table
+from gridlake.llm.common import discard, stage_table
 
 PIECE, CENTRES = 2, 16
 ETA, ROUNDS = 4.0, 12
@@ -103,14 +107,19 @@ def tables(queries: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (lo[:, None, :, :] + hi[:, :, None, :]).reshape(len(lo), 256, -1).astype(np.float32)
 
 
-def _good(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    v = F.col(vec_col).cast("array<float>")
+def depth(entries: int, least: int = RERANK) -> int:
+    """How many entries of each query are scored exactly."""
+    return max(least, math.isqrt(entries) // 2)
+
+
+def _good(df: DataFrame, id_col: str, vec_col: str, kind: str) -> DataFrame:
+    v = F.col(vec_col).cast(f"array<{kind}>")
     fine = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0)
     return df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
-    values = col.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+    values = col.flatten().to_numpy(zero_copy_only=False)
     return values.reshape(len(col), -1) if len(col) else np.zeros((0, 0), np.float32)
 
 
@@ -120,7 +129,7 @@ def _distinct(good: DataFrame, keep: int) -> DataFrame:
     def local(batches):
         held: dict[bytes, list[int]] = {}
         for b in batches:
-            for i, row in zip(b.column(0).to_pylist(), _matrix(b.column(1)) + np.float32(0), strict=True):  # -0.0 is 0.0
+            for i, row in zip(b.column(0).to_pylist(), _matrix(b.column(1)) + 0, strict=True):  # -0.0 is 0.0
                 h = held.setdefault(row.tobytes(), [])
                 if len(h) < keep:
                     heapq.heappush(h, -i)
@@ -139,19 +148,24 @@ def _distinct(good: DataFrame, keep: int) -> DataFrame:
 
 def search(base: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", rerank: int = RERANK) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k nearest rows of base but itself."""
-    spark = base.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
-    good = _good(base, id_col, vec_col)
-    width = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if width is None:
-        return spark.createDataFrame([], schema)
-    dim = width.d
+    floats = all(df.select(vec_col).dtypes[0][1] == "array<float>" for df in (base, queries))
+    kind = "float" if floats else "double"
+    good, asked = _good(base, id_col, vec_col, kind), _good(queries, id_col, vec_col, kind)
+    result = base.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in good.select(F.size("v").alias("d")).distinct().orderBy("d").collect():  # few: the lengths of vectors
+        result = result.union(_search(good.where(F.size("v") == r.d), asked.where(F.size("v") == r.d), r.d, np.dtype(f"<f{4 if floats else 8}"), k, rerank))
+    return result
+
+
+def _search(good: DataFrame, asked: DataFrame, dim: int, kind: np.dtype, k: int, rerank: int) -> DataFrame:
+    """The same among vectors of one length."""
+    spark = good.sparkSession
     even = -(-dim // PIECE) * PIECE
-    entries = stage_table(_distinct(good.where(F.size("v") == dim), k + 1), "vectors")
+    entries = stage_table(_distinct(good, k + 1), "vectors")
     sample = entries.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("key").toArrow().column(0).to_pylist()
 
     def rows_of(keys) -> np.ndarray:
-        x = np.frombuffer(b"".join(keys), np.float32).reshape(-1, dim)
+        x = np.frombuffer(b"".join(keys), kind).reshape(-1, dim)
         return np.pad(x, ((0, 0), (0, even - dim)))
 
     centres = fit_centres(rows_of(sample))
@@ -162,27 +176,31 @@ def search(base: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_
                 codes = pack(encode(rows_of(b.column(0).to_pylist()), centres))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], ["key", "ids", "code"])
 
-    indexed = stage_table(entries.mapInArrow(index, "key binary, ids array<long>, code binary"), "vector-index")
-    asked = _good(queries, id_col, vec_col).where(F.size("v") == dim)
+    indexed = entries.mapInArrow(index, "key binary, ids array<long>, code binary")
+    indexed = stage_table(indexed.withColumn("entry", F.monotonically_increasing_id()), "vector-index")  # numbered once, as written
+    discard(entries)
+    rerank = depth(indexed.count(), rerank)
+    size = max(1, QUERY_BLOCK * RERANK // rerank)  # lists of a block stay of one size
     out, block = [], []
 
     def run(block) -> DataFrame:
-        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, [q for q, _ in block], np.asarray([v for _, v in block], np.float32), centres))
-        near = indexed.mapInArrow(_scan(shared, rerank, even), "query int, key binary, ids array<long>, approx float")
-        best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("approx"), "first"))
-        near = near.withColumn("first", F.col("ids")[0]).withColumn("r", best).where(F.col("r") <= rerank).select("query", "key", "ids")
+        shared = spark.sparkContext.broadcast(([q for q, _ in block], np.asarray([v for _, v in block], kind), centres))
+        near = indexed.select("entry", "code").mapInArrow(_scan(shared, rerank, even), "query int, entry long, approx float")
+        best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("approx"), "entry"))
+        near = near.withColumn("r", best).where(F.col("r") <= rerank).select("query", "entry")
+        near = near.join(indexed.select("entry", "key", "ids"), "entry").select("query", "key", "ids")
         exact = near.mapInArrow(_score(shared), "query_id long, vec_id long, score double")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return exact.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
     for r in asked.toLocalIterator():
         block.append((r.vec_id, r.v))
-        if len(block) == QUERY_BLOCK:
+        if len(block) == size:
             out.append(stage_table(run(block), "nearest"))
             block = []
-    if block:
-        out.append(run(block))
-    result = out[0] if out else spark.createDataFrame([], schema)
+    if block or not out:
+        out.append(run(block) if block else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double"))
+    result = out[0]
     for more in out[1:]:
         result = result.union(more)
     return result
@@ -190,37 +208,31 @@ def search(base: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_
 
 def _scan(shared, rerank: int, even: int):
     def run(batches):
-        _, _, q, centres = shared.value
+        _, q, centres = shared.value
         q = np.pad(q, ((0, 0), (0, even - q.shape[1]))).astype(np.float64)
         lut = tables(q, centres)
         n = len(q)
         top = np.full((n, 0), -np.inf, np.float32)
         at = np.zeros((n, 0), np.int64)
-        keys, ids = [], []
         for b in batches:
-            codes = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-            base = len(keys)
-            keys += b.column(0).to_pylist()
-            ids += b.column(1).to_pylist()
+            codes = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            entry = b.column(0).to_numpy()
             for a in range(0, len(codes), SCAN_ROWS):
                 part = codes[a : a + SCAN_ROWS]
                 score = lut[0][part[:, 0]]
                 for j in range(1, len(lut)):
                     score += lut[j][part[:, j]]
                 score = np.concatenate([top, score.T], 1)
-                where = np.concatenate([at, np.broadcast_to(np.arange(base + a, base + a + len(part)), (n, len(part)))], 1)
+                where = np.concatenate([at, np.broadcast_to(entry[a : a + len(part)], (n, len(part)))], 1)
                 if score.shape[1] > rerank:
                     pick = np.argpartition(-score, rerank - 1, axis=1)[:, :rerank]
                     score, where = np.take_along_axis(score, pick, 1), np.take_along_axis(where, pick, 1)
                 top, at = score, where
-            used = np.unique(at)  # only what some query still holds stays in memory
-            keys, ids = [keys[i] for i in used], [ids[i] for i in used]
-            at = np.searchsorted(used, at)
-        for i in range(n if keys else 0):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(at.shape[1], i, np.int32)), pa.array([keys[x] for x in at[i]], pa.binary()), pa.array([ids[x] for x in at[i]], pa.list_(pa.int64())), pa.array(top[i])],
-                ["query", "key", "ids", "approx"],
-            )
+        width = at.shape[1]
+        for a in range(0, n if width else 0, 64):
+            part = slice(a, min(a + 64, n))
+            which = np.repeat(np.arange(part.start, part.stop, dtype=np.int32), width)
+            yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(at[part].ravel()), pa.array(top[part].ravel())], ["query", "entry", "approx"])
 
     return run
 
@@ -235,12 +247,12 @@ def inner_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def _score(shared):
     def run(batches):
-        _, names, q, _ = shared.value
+        names, q, _ = shared.value
         for b in batches:
             if not b.num_rows:
                 continue
             which = b.column(0).to_numpy()
-            x = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float32).reshape(b.num_rows, -1)
+            x = np.frombuffer(b"".join(b.column(1).to_pylist()), q.dtype).reshape(b.num_rows, -1)
             score = inner_products(q[which], x)
             rows = [(names[i], v, s) for i, own, s in zip(which, b.column(2).to_pylist(), score, strict=True) for v in own if v != names[i]]
             cols = zip(*rows, strict=True) if rows else ([], [], [])
