@@ -13,13 +13,16 @@ Lines never leave their document's row: a document is an array of line hashes, a
 these arrays, once by document, and selected fingerprints. Of documents of equal text only the first goes
 through the lines, as all lines of the others repeat. First positions come from map-side sums, so a line
 that a third of all documents hold is summed before it is shuffled, and matched rows are salted where
-they meet it. Runs are broadcast to the texts where there are no more than BROADCAST_RUNS documents with
-runs, else the texts are shuffled to them.
+they meet it. Runs are broadcast to the texts where they take no more than BROADCAST_BYTES, else the texts
+are shuffled to them.
+
+Equal texts are told by 128 bits of hash, lines by 56 bits and their length, fingerprints by 64 bits and
+rows by 64 bits; what is deleted is not compared letter by letter.
 
 Null texts stay null, empty ones empty; a document that is wholly repeated becomes empty and keeps its
 row. Null ids sort before others. Rows of equal id and text are treated alike, as one; other rows of equal
 ids are told apart. A blank line counts as one word, a line of over 255 words as 255. Extra columns are
-kept as they are. An empty table gives an empty result.
+kept as they are; where one is called n_removed, the new column has underscores behind that name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,11 +30,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import stage_table
+from gridlake.llm.common import free_name, stage_table
 
 GRAM_WORDS, RUN_WORDS = 12, 30
 SALTS = 16
-BROADCAST_RUNS = 500_000
+BROADCAST_BYTES = 64 << 20
 #: After marks or line feeds, or before a space and a capital letter; nothing is lost in the cut.
 CUT = r"(?<=[.!?\n])(?![.!?\n])|(?= \p{Lu})"
 
@@ -59,11 +62,16 @@ def _reach(hs: Column, words: int, whole: bool) -> Column:
     return F.aggregate(hs, F.lit(0).cast("long"), step, end)
 
 
+def _same(text: Column) -> Column:
+    """A key of equal texts, of 128 bits."""
+    return F.struct(F.xxhash64(text).alias("p"), F.xxhash64(F.lit(1), text).alias("q"))
+
+
 def _told(docs: DataFrame, gram: int) -> DataFrame:
     """row, id, hs (line hashes) and prints (g, pos, n: the selected fingerprints and their lines) of the
     documents whose text is the first of its kind."""
     some = docs.where(F.length("text") > 0)
-    first = some.groupBy(F.xxhash64("text").alias("x")).agg(F.min(F.struct("id", "row")).alias("f")).select(F.col("f.row").alias("row"))
+    first = some.groupBy(_same(F.col("text")).alias("x")).agg(F.min(F.struct("id", "row")).alias("f")).select(F.col("f.row").alias("row"))
 
     trimmed = F.transform(lines(F.col("text")), lambda s: F.trim(s, F.lit(" \n\t\r")))
     hashed = lambda s: F.xxhash64(s).bitwiseAND(F.lit(-256)).bitwiseOR(F.least(_words(s), F.lit(255)).cast("long"))
@@ -145,18 +153,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words taken out)."""
     row = F.xxhash64(F.col(id_col), F.col(text_col))  # rows of equal id and text are treated alike
     own = docs.select(F.col(id_col).cast("long").alias("id"), row.alias("row"), F.col(text_col).alias("text"))
-    runs = repeated_runs(own, gram, least).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("__runs"), F.sum("words").cast("long").alias("__words"))
+    runs = repeated_runs(own, gram, least).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("runs"), F.sum("words").cast("long").alias("words"))
     # later copies of a whole text: all of it goes, if it is as long as a run
     some = own.where(F.length("text") > 0)
-    copies = some.groupBy(F.xxhash64("text").alias("x")).agg(F.min(F.struct("id", "row")).alias("f"), F.count("*").alias("k")).where("k > 1")
+    copies = some.groupBy(_same(F.col("text")).alias("x")).agg(F.min(F.struct("id", "row")).alias("f"), F.count("*").alias("k")).where("k > 1")
     copies = stage_table(copies.select("x", F.col("f.row").alias("row0")), "first-texts").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    later = some.select("row", F.xxhash64("text").alias("x"), F.pmod(F.hash("row"), F.lit(SALTS)).alias("salt"), _words(F.trim("text")).alias("__words"))
-    later = later.join(copies, ["x", "salt"]).where(f"row != row0 and __words >= {least}")
+    later = some.select("row", _same(F.col("text")).alias("x"), F.pmod(F.hash("row"), F.lit(SALTS)).alias("salt"), _words(F.trim("text")).alias("words"))
+    later = later.join(copies, ["x", "salt"]).where(f"row != row0 and words >= {least}")
     whole = F.array(F.struct(F.lit(0).alias("first"), F.lit(2147483647).alias("last")))
-    gone = stage_table(runs.union(later.select("row", whole, F.col("__words").cast("long"))).dropDuplicates(["row"]), "runs").withColumnRenamed("row", "__row")
-    if gone.count() <= BROADCAST_RUNS:
-        gone = F.broadcast(gone)
-    out = docs.withColumn("__row", row).join(gone, "__row", "left")
-    kept = F.filter(lines(F.col(text_col)), lambda s, i: ~F.exists("__runs", lambda r: (i >= r["first"]) & (i <= r["last"])))
-    text = F.when(F.col("__runs").isNull(), F.col(text_col)).otherwise(F.array_join(kept, ""))
-    return out.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), F.coalesce("__words", F.lit(0).cast("long")).alias("n_removed"))
+    gone = stage_table(runs.union(later.select("row", whole, F.col("words").cast("long"))).dropDuplicates(["row"]), "runs")
+    key, spans, words = (free_name(c, docs.columns) for c in ("__row", "__runs", "__words"))
+    held = gone.select(F.col("row").alias(key), F.col("runs").alias(spans), F.col("words").alias(words))
+    if (gone.agg(F.sum(64 + 16 * F.size("runs"))).first()[0] or 0) <= BROADCAST_BYTES:
+        held = F.broadcast(held)
+    out = docs.withColumn(key, row).join(held, key, "left")
+    kept = F.filter(lines(F.col(text_col)), lambda s, i: ~F.exists(spans, lambda r: (i >= r["first"]) & (i <= r["last"])))
+    text = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(F.array_join(kept, ""))
+    removed = F.coalesce(words, F.lit(0).cast("long")).alias(free_name("n_removed", docs.columns))
+    return out.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), removed)

@@ -93,7 +93,7 @@ def test_repeats_inside_one_document_and_very_long_texts(spark):
 
 def test_broadcast_and_shuffled_runs_give_the_same(spark, sf_dir, monkeypatch):
     one = sorted(map(tuple, QUERIES["op4_line_dedup"](spark, sf_dir).collect()), key=str)
-    monkeypatch.setattr(line_dedup, "BROADCAST_RUNS", 0)
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", -1)
     assert sorted(map(tuple, QUERIES["op4_line_dedup"](spark, sf_dir).collect()), key=str) == one
 
 
@@ -118,3 +118,67 @@ def test_what_goes_stands_in_an_earlier_document(spark, sf_dir):
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = QUERIES["op4_line_dedup"](spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_first_copies_in_different_documents(spark):
+    """A passage of one document and one of another, side by side: both ends of the merged run are
+    extended by their own sources."""
+    rng = random.Random(31)
+    for _ in range(4):
+        p, q = ([sentence(rng, rng.randrange(3, 9)) for _ in range(14)] for _ in range(2))
+        one, two = " ".join([prose(rng, 4), *p, prose(rng, 4)]), " ".join([prose(rng, 4), *q, prose(rng, 4)])
+        head, tail = prose(rng, 3), prose(rng, 3)
+        three = " ".join([head, *p[2:], *q[:11], tail])
+        four = " ".join([head.lower().capitalize(), *q[3:], *p[1:], tail.upper()])
+        rows = [(1, one), (2, two), (3, three), (4, four)]
+        out = run(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+        assert (out[1].text, out[2].text) == (one, two)
+        assert out[3].text == f"{head} {tail}" and out[3].n_removed == len(" ".join([*p[2:], *q[:11]]).split())
+        assert "".join(q[3:5]) not in out[4].text and all(s not in out[4].text for s in (*q[3:], *p[1:]))
+
+
+def test_against_a_plain_search(spark):
+    """Every run of whole lines of RUN_WORDS words that an earlier document holds goes from later ones,
+    where it has two fingerprints' words, and nothing goes that no earlier line repeats."""
+    rng = random.Random(32)
+    pool = [sentence(rng, rng.randrange(3, 8)) for _ in range(60)]
+    rows = []
+    for d in range(40):
+        parts = []
+        for _ in range(3):
+            a = rng.randrange(50)
+            parts += [sentence(rng, 6), *pool[a : a + rng.randrange(1, 12)]]
+        rows.append((d, " ".join(parts)))
+    out = run(spark.createDataFrame(rows, "doc_id long, text string"))
+    seen: set[str] = set()
+    for d, t in rows:
+        was = re.findall(r"[^.]+\.", t)
+        now = re.findall(r"[^.]+\.", out[d].text)
+        gone, k = [], 0
+        for s in was:  # what is kept is a subsequence
+            if k < len(now) and now[k].strip() == s.strip():
+                k += 1
+            else:
+                gone.append(s.strip())
+        assert k == len(now)
+        assert set(gone) <= seen | {s.strip() for s in was}, d
+        runs, held = [], []
+        for s in [*was, None]:
+            if s is not None and s.strip() in seen:
+                held.append(s.strip())
+            else:
+                runs.append(held)
+                held = []
+        for r in runs:
+            if d and sum(len(s.split()) for s in r) >= 60 and " ".join(r) in " ".join(x for _, x in rows[:d]):
+                assert all(s in gone for s in r), d
+        seen |= {s.strip() for s in was}
+
+
+def test_clashing_names(spark):
+    rng = random.Random(33)
+    text = prose(rng, 12)
+    df = spark.createDataFrame([(1, text), (2, "Before. " + text)], "doc_id long, text string").withColumns({c: F.lit(c) for c in ("n_removed", "__row", "__runs", "__words", "row", "id", "runs")})
+    out = line_dedup.dedup_lines(df).collect()
+    assert all(r.n_removed == "n_removed" and r["__row"] == "__row" for r in out)
+    assert {r.doc_id: (r.text, r.n_removed_ > 0) for r in out} == {1: (text, False), 2: ("Before.", True)}
