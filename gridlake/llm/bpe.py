@@ -38,6 +38,7 @@ _RARE = re.compile("[^\0-\u0557\u2000-\u208e\u20a0-\ua7cd]")
 #: Runs of white space as both cutters know it, and what follows.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUNS = re.compile(f"([{_SPACE}]*)([^{_SPACE}]+)|([{_SPACE}]+)")
+_WHITE = frozenset(re.findall(f"[{_SPACE}]", "".join(map(chr, range(0x3001)))))  # str.isspace() has \x1c to \x1f as well
 MEMO_ENTRIES, COUNTED = 200_000, 250_000  # of pieces of at most LONGEST_LEXICON_WORD characters, so in bounded memory
 LONGEST_LEXICON_WORD = 64
 
@@ -184,6 +185,11 @@ class Lexicon:
 _ONE = [bytes([b]) for b in range(256)]
 
 
+def as_written(piece: str) -> str:
+    """The text that a key of Encoder stands for."""
+    return piece[1:] if piece[:1] == " " else piece if piece[:1] == "\n" else " " + piece
+
+
 class Encoder(dict):
     """Text to ids and back; a dict from pieces to their ids, None where a piece needs its context."""
 
@@ -192,14 +198,13 @@ class Encoder(dict):
         self.v, self.lexicon = vocabulary, lexicon
 
     def __missing__(self, piece: str):
-        """piece: what stands between two spaces, without them; or from another white-space character on,
-        with it."""
-        own = piece[:1].isspace()
-        body = piece[1:] if own else piece
-        if body[:1].isspace() or body[-1:].isspace() or not body:
+        """piece: what follows a space, without it; or a line feed and what follows it; or a space, another
+        white-space character and what follows that, where no space stands before."""
+        w = as_written(piece)
+        body = w[1:]
+        if not body or body[0] in _WHITE or body[-1] in _WHITE:
             ids = None
         else:
-            w = piece if own else " " + piece
             ids = self.lexicon.get(w.encode()) if self.lexicon else None
             ids = tuple(self.v.merge(w) if ids is None else ids)
         if len(piece) <= LONGEST_LEXICON_WORD:
@@ -231,7 +236,8 @@ class Encoder(dict):
                 if not space:
                     out += self.v.merge(body)
                     continue
-                ids = self[body if space[-1] == " " else space[-1] + body]
+                last = space[-1]
+                ids = self[body if last == " " else last + body if last == "\n" else " " + last + body]
                 if ids is None:
                     return self.v.merge(text)
                 out += ids
@@ -297,7 +303,7 @@ def ship_lexicon(docs: DataFrame, vocabulary_path: str, size: int = 32_768) -> s
     words: dict[bytes, list[int]] = {}
     for piece, _ in frequent_pieces(docs, size):
         if encoder[piece] is not None:
-            words[(piece if piece[0].isspace() else " " + piece).encode()] = list(encoder[piece])
+            words[as_written(piece).encode()] = list(encoder[piece])
     if not words:
         return None
     data = Lexicon.compile(words)

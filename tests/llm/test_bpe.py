@@ -77,6 +77,20 @@ def test_white_space_of_all_kinds(text):
     assert encoder.encode(text) == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["a \tb", "a b \tc d", "a \xa0b", "a \u3000b\n\tc", "\t\tx \ty", "a \x1fb", " \x1f1", "a \x1c\x1d b", "a\x1f\n\x1f b"])
+def test_white_space_after_a_space(library, encoder, text):
+    """What stands behind a space keeps it, whichever texts the memo has seen; \\x1c to \\x1f are no white space."""
+    for t in (text, " " + text, text.replace(" ", ""), text):
+        assert encoder.encode(t) == library.encode(t, add_special_tokens=False).ids
+
+
+def test_lexicon_words_with_white_space(spark, library):
+    texts = ["a \tb c \x1fd\n\te", "a\tb c\x1fd\ne", "\tb \tb\x1fd \x1fd"] * 4
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for r in bpe.encode_documents(df, TOKENIZER, keep_ids=True).collect():
+        assert list(r.ids) == library.encode(texts[r.doc_id], add_special_tokens=False).ids
+
+
 def test_spaced_texts_use_the_lexicon(encoder):
     seen = []
 
