@@ -38,7 +38,9 @@ _RARE = re.compile("[^\0-\u0557\u2000-\u208e\u20a0-\ua7cd]")
 #: Runs of white space as both cutters know it, and what follows.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUNS = re.compile(f"([{_SPACE}]*)([^{_SPACE}]+)|([{_SPACE}]+)")
+_GAPS = re.compile(f"[{_SPACE}]+")
 _WHITE = frozenset(re.findall(f"[{_SPACE}]", "".join(map(chr, range(0x3001)))))  # str.isspace() has \x1c to \x1f as well
+LONG_RUN = 50_000  # white space that the merging library's cutter, which keeps a stack, doesn't get
 MEMO_ENTRIES, COUNTED = 200_000, 250_000  # of pieces of at most LONGEST_LEXICON_WORD characters, so in bounded memory
 LONGEST_LEXICON_WORD = 64
 
@@ -74,8 +76,20 @@ class Vocabulary:
 
     def merge(self, text: str) -> list[int]:
         """Ids of a text without special tokens: cut into pre-tokens, in each the pair of least rank
-        merged again and again. Characters on whose class the cutters of two libraries may not
+        merged again and again. A run of white space but its last character, which may join a word, is one
+        pre-token, however long. Characters on whose class the cutters of two libraries may not
         agree, as newer Unicode versions have more letters, go by the vocabulary's own library."""
+        if len(text) > LONG_RUN:
+            out, at = [], 0
+            for m in _GAPS.finditer(text):
+                if m.end() - m.start() > LONG_RUN:
+                    end = m.end() - (m.end() < len(text))
+                    out += self._cut(text[at : m.start()]) + self._merge._encode_single_piece(text[m.start() : end].encode())
+                    at = end
+            return out + self._cut(text[at:]) if at else self._cut(text)
+        return self._cut(text)
+
+    def _cut(self, text: str) -> list[int]:
         if _RARE.search(text):
             words = [text[a:b] for _, (a, b) in self.cutter.pre_tokenize_str(text)]
             return list(chain.from_iterable(self._merge._encode_single_piece(w.encode()) for w in words))

@@ -84,6 +84,11 @@ def test_white_space_after_a_space(library, encoder, text):
         assert encoder.encode(t) == library.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [" " * 1_200_000 + "x y", "a" + "\t" * 1_200_000 + "b c", "x \n" + "\n " * 600_000, "b" + "\u3000\n" * 60_000 + "c\u3000d"])
+def test_long_runs_of_white_space(library, encoder, text):
+    assert encoder.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_lexicon_words_with_white_space(spark, library):
     texts = ["a \tb c \x1fd\n\te", "a\tb c\x1fd\ne", "\tb \tb\x1fd \x1fd"] * 4
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
