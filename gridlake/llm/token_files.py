@@ -48,7 +48,7 @@ def train_dictionary(docs: DataFrame, vocabulary_path: str) -> bytes:
     rows = texts.groupBy("doc_id").agg(F.min("text").alias("t")).orderBy("doc_id").collect()  # SAMPLE_DOCUMENTS at most
     v = Vocabulary(vocabulary_path)
     e, kind = Encoder(v), _kind(v.size)
-    parts = [np.asarray(e.encode(r.t)[:SAMPLE_IDS], kind).tobytes() for r in rows]
+    parts = [np.asarray(e.encode_whole(r.t)[:SAMPLE_IDS], kind).tobytes() for r in rows]
     if len(parts) < 100 or sum(map(len, parts)) < 10 * DICTIONARY_BYTES // 8:
         return b""
     try:
@@ -81,7 +81,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, end_id:
         for b in batches:
             n, frames = [], []
             for t in b.column(1):
-                ids = np.asarray([*e.encode(t.as_py() or ""), end_id], kind)
+                ids = np.asarray(e.encode_whole(t.as_py() or "") + [end_id], kind)
                 n.append(len(ids))
                 frames.append(z.compress(ids.tobytes()))
             given = b.column(0)

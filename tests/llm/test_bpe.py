@@ -53,6 +53,24 @@ def test_edge_texts(library, encoder, text):
     assert encoder.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("text", [*CASES, "a \tb", " \x1f1", "word " * 30_000 + " " * 1_200_000 + "x", "日本 <|endoftext|>\u3000x"])
+def test_whole_texts_in_one_call(library, encoder, text):
+    assert encoder.encode_whole(text) == library.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.sampled_from(" \n\t\x1f'sab1.,é"), st.characters(codec="utf-8")), max_size=60))
+def test_any_text_in_one_call(text):
+    library, encoder = _pair()
+    assert encoder.encode_whole(text) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_ordinary_texts_leave_the_memo_empty():
+    own = bpe.Encoder(bpe.Vocabulary(TOKENIZER))
+    own.encode_whole("Every word of these is rare, and it's merged with the others.\n\tSo no memo fills.")
+    assert not own
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.one_of(st.sampled_from(" \n\t'ab1.,é"), st.characters(codec="utf-8")), max_size=60))
 def test_any_text(text):
