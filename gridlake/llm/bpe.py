@@ -5,7 +5,8 @@ their token ids, into a minimal acyclic automaton (shared prefixes and suffixes)
 outputs addressed by perfect hashing: every arc holds how many words come before it. The compiled
 file is shipped with SparkContext.addFile and memory-mapped by each Python worker, so workers of one
 machine share its pages. A piece that the automaton lacks is cut by the tokenizer's pattern and
-merged exactly by rank. A bounded per-worker memo stands before both.
+merged exactly by rank. A bounded per-worker memo stands before both; when it is full, pieces of the
+lexicon stay in it and the others go.
 
 Null texts count as empty; an empty text has no ids. Long texts are encoded whole. Repeated rows give
 repeated results; extra columns are ignored by the digests.
@@ -41,7 +42,7 @@ _RUNS = re.compile(f"([{_SPACE}]*)([^{_SPACE}]+)|([{_SPACE}]+)")
 _GAPS = re.compile(f"[{_SPACE}]+")
 _WHITE = frozenset(re.findall(f"[{_SPACE}]", "".join(map(chr, range(0x3001)))))  # str.isspace() has \x1c to \x1f as well
 LONG_RUN = 50_000  # white space that the merging library's cutter, which keeps a stack, doesn't get
-MEMO_ENTRIES, COUNTED = 200_000, 250_000  # of pieces of at most LONGEST_LEXICON_WORD characters, so in bounded memory
+MEMO_ENTRIES, COUNTED = 65_536, 250_000  # of pieces of at most LONGEST_LEXICON_WORD characters, so in bounded memory
 LONGEST_LEXICON_WORD = 64
 
 
@@ -210,6 +211,7 @@ class Encoder(dict):
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
         super().__init__()
         self.v, self.lexicon = vocabulary, lexicon
+        self.frequent: dict[str, tuple] = {}  # pieces of the lexicon, which stay
 
     def __missing__(self, piece: str):
         """piece: what follows a space, without it; or a line feed and what follows it; or a space, another
@@ -219,11 +221,14 @@ class Encoder(dict):
         if not body or body[0] in _WHITE or body[-1] in _WHITE:
             ids = None
         else:
-            ids = self.lexicon.get(w.encode()) if self.lexicon else None
-            ids = tuple(self.v.merge(w) if ids is None else ids)
+            known = self.lexicon.get(w.encode()) if self.lexicon else None
+            ids = tuple(self.v.merge(w) if known is None else known)
+            if known is not None and len(self.frequent) < MEMO_ENTRIES // 2:
+                self.frequent[piece] = ids
         if len(piece) <= LONGEST_LEXICON_WORD:
             if len(self) >= MEMO_ENTRIES:
                 self.clear()
+                self.update(self.frequent)
             self[piece] = ids
         return ids
 

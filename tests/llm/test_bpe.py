@@ -127,6 +127,21 @@ def test_spaced_texts_use_the_lexicon(encoder):
     assert {b" f(x):", b" return", b" x"} <= set(seen)
 
 
+def test_lexicon_words_stay_in_a_full_memo(encoder, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_ENTRIES", 50)
+    lookups = []
+
+    class Words:
+        def get(self, w):
+            lookups.append(w)
+            return encoder.v.merge(w.decode()) if w == b" often" else None
+
+    own = bpe.Encoder(encoder.v, Words())
+    text = " ".join(f"rare{i} often" for i in range(500))
+    assert own.encode(text) == encoder.encode(text)
+    assert lookups.count(b" often") == 1 and len(own) <= 51
+
+
 def test_lexicon_is_minimal_and_exact(tmp_path):
     rng = random.Random(1)
     words = {bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 9))): [rng.randrange(50_000) for _ in range(rng.randrange(1, 4))] for _ in range(2_000)}
