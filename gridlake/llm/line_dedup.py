@@ -62,6 +62,17 @@ def _reach(hs: Column, words: int, whole: bool) -> Column:
     return F.aggregate(hs, F.lit(0).cast("long"), step, end)
 
 
+def _gram_lines(hs: str, h: Column, i: Column, gram: int) -> Column:
+    """_reach() of the lines of hs from h, the one at i, on, whole. Mostly a few lines are enough: up to four
+    are added up without a loop over gram lines."""
+    words, n = _size(h), F.when(_size(h) >= gram, 1)
+    for k in range(1, 4):
+        words = words + _size(F.get(hs, i + k))  # null behind the last line
+        n = n.when(words >= gram, k + 1)
+    # every line has a word at least, so the next gram lines are enough
+    return n.otherwise(_reach(F.slice(hs, i + 1, F.lit(gram)), gram, True))
+
+
 def _same(text: Column) -> Column:
     """A key of equal texts, of 128 bits."""
     return F.struct(F.xxhash64(text).alias("p"), F.xxhash64(F.lit(1), text).alias("q"))
@@ -77,8 +88,7 @@ def _told(docs: DataFrame, gram: int) -> DataFrame:
     hashed = lambda s: F.xxhash64(s).bitwiseAND(F.lit(-256)).bitwiseOR(F.least(_words(s), F.lit(255)).cast("long"))
     hs = some.select("id", "row", F.transform(trimmed, hashed).alias("hs"))
     told = hs.join(first, "row", "left_semi").dropDuplicates(["row"])
-    # every line has a word at least, so the next gram lines are enough
-    told = told.withColumn("ns", F.transform("hs", lambda h, i: _reach(F.slice("hs", i + 1, F.lit(gram)), gram, True)))
+    told = told.withColumn("ns", F.transform("hs", lambda h, i: _gram_lines("hs", h, i, gram)))
     told = told.withColumn("gs", F.transform("ns", lambda n, i: F.when(n.isNotNull(), F.xxhash64(F.slice("hs", i + 1, F.coalesce(n, F.lit(1)))))))
     # gs is read more than once: a column that a lambda reads once is inlined and made anew for each element
     window = lambda n, i: F.slice("gs", i + 1, F.coalesce(n, F.lit(1)))

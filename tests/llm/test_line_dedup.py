@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridlake.llm import line_dedup
@@ -182,3 +183,13 @@ def test_clashing_names(spark):
     out = line_dedup.dedup_lines(df).collect()
     assert all(r.n_removed == "n_removed" and r["__row"] == "__row" for r in out)
     assert {r.doc_id: (r.text, r.n_removed_ > 0) for r in out} == {1: (text, False), 2: ("Before.", True)}
+
+
+@pytest.mark.parametrize("gram", [1, 2, 3, 5, 12])
+def test_lines_of_a_fingerprint_against_a_loop(spark, gram):
+    rng = random.Random(gram)
+    sizes = [[rng.choice((1, 1, 2, 3, 4, 7, 12, 30, 255)) for _ in range(rng.randrange(0, 30))] for _ in range(200)]
+    df = spark.createDataFrame([([(rng.randrange(-(1 << 40), 1 << 40) << 8) | n for n in x], x) for x in sizes], "hs array<long>, sizes array<int>")
+    out = df.select("sizes", F.transform("hs", lambda h, i: line_dedup._gram_lines("hs", h, i, gram)).alias("ns")).collect()
+    for r in out:
+        assert r.ns == [next((k for k in range(1, len(r.sizes) - i + 1) if sum(r.sizes[i : i + k]) >= gram), None) for i in range(len(r.sizes))]
