@@ -31,7 +31,7 @@ from gridlake.llm.components import components
 
 BINS, BANDS, ROWS = 512, 64, 8
 SALTS = 16
-OFTEN = 64
+CELLS, PAGE = 1 << 20, 1 << 10
 MEMO_ENTRIES = 150_000
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _S29, _S32 = np.uint64(29), np.uint64(32)
@@ -260,18 +260,17 @@ def _rims(spokes: DataFrame, label: DataFrame, sets: DataFrame, percent: int) ->
     anchor, is short for near copies, and |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|, so the similarity asks
     for a least overlap of D(f) and D(y): more than half of D(y). That is a set-similarity join on the D, with
     prefix and position filters, shingles in ascending order of their frequency among the anchor's
-    members. It is exact, and what all members share with the anchor is in no D and pairs nobody."""
+    members. It is exact: frequencies only choose the order, and a shingle that is counted once is in no
+    other D. What all members share with the anchor is in no D, so neither pairs anybody."""
     named = _named(spokes, label)
-    mixed = named.groupBy("a").agg(F.bool_or(F.col("ca") != F.col("cb")).alias("mixed"), F.count("*").alias("k")).where("mixed and k > 1").select("a", "k")
-    open_ = named.join(mixed, "a").select("a", "b", "cb", (F.col("ca") != F.col("cb")).alias("far"), "k")
+    mixed = named.groupBy("a").agg(F.bool_or(F.col("ca") != F.col("cb")).alias("mixed"), F.count("*").alias("k")).where("mixed and k > 1").select("a")
+    open_ = named.join(mixed, "a").select("a", "b", "cb", (F.col("ca") != F.col("cb")).alias("far"))
     deltas = stage_table(_deltas(open_, sets), "deltas")
-    counts = deltas.select("a", "k", F.explode("delta").alias("g")).groupBy("a", "g").agg(F.count("*").alias("c"), F.first("k").alias("k"))
-    # at most OFTEN times the longest difference for an anchor
-    often = counts.where(f"c > 2 and c * {OFTEN} > k").groupBy("a").agg(F.collect_list(F.struct("c", "g")).alias("often"))
-    ordered = stage_table(_prefixes(deltas.join(often, "a", "left"), percent), "prefixes")
+    ordered = stage_table(_prefixes(deltas, _frequencies(deltas), percent), "prefixes")
 
     def side(x: str, length: str) -> DataFrame:
-        out = ordered.where(F.col(length) > 0).select("a", "b", "cb", "n", "d", F.posexplode(F.slice("delta", F.lit(1), F.col(length))).alias("pos", "g"))
+        rows = F.inline(F.slice(F.arrays_zip("pos", F.col("delta").alias("g")), F.lit(1), F.col(length)))
+        out = ordered.where(F.col(length) > 0).select("a", "b", "cb", "n", "d", rows)
         return out.select("a", "g", *(F.col(c).alias(c + x) for c in ("b", "cb", "n", "d", "pos")))
 
     p, q = 100 - percent, 100 + percent
@@ -281,50 +280,94 @@ def _rims(spokes: DataFrame, label: DataFrame, sets: DataFrame, percent: int) ->
     return found.select(F.least("bf", "by").alias("a"), F.greatest("bf", "by").alias("b")).distinct()
 
 
+def _cells(a: int, g: np.ndarray) -> np.ndarray:
+    """Where the members of a count the shingles g."""
+    h = (g.view(np.uint64) ^ np.uint64(a * int(_P1) % (1 << 64))) * _P2
+    h ^= h >> _S32
+    h *= _P1
+    return (h >> np.uint64(40)).astype(np.int64) % CELLS
+
+
+def _frequencies(deltas: DataFrame):
+    """How many members of an anchor have a shingle in their difference, or more where shingles share a cell:
+    CELLS counts of fixed size (4 MB), as a broadcast variable. No shingle becomes a row for them."""
+    most = np.iinfo(np.uint32).max
+
+    def pages(n: np.ndarray, at) -> pa.RecordBatch:
+        counts = np.minimum(n, most).astype(np.uint32)
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([c.tobytes() for c in counts], pa.binary())], ["page", "counts"])
+
+    def count(batches):
+        n = np.zeros(CELLS, np.int64)
+        for x in batches:
+            for a, delta in zip(x.column(0).to_pylist(), x.column(1), strict=True):
+                np.add.at(n, _cells(a, delta.values.to_numpy(zero_copy_only=False)), 1)
+        n = n.reshape(-1, PAGE)
+        at = np.flatnonzero(n.any(1))
+        yield pages(n[at], at)
+
+    def total(batches):
+        sums: dict[int, np.ndarray] = {}
+        for x in batches:
+            for page, counts in zip(x.column(0).to_pylist(), x.column(1), strict=True):
+                sums[page] = sums.get(page, 0) + np.frombuffer(counts.as_buffer(), np.uint32).astype(np.int64)
+        yield pages(np.array(list(sums.values())).reshape(-1, PAGE), list(sums))
+
+    schema = "page int, counts binary"
+    out = np.zeros((CELLS // PAGE, PAGE), np.uint32)
+    for page, counts in deltas.select("a", "delta").mapInArrow(count, schema).repartition("page").mapInArrow(total, schema).collect():
+        out[page] = np.frombuffer(bytes(counts), np.uint32)
+    return deltas.sparkSession.sparkContext.broadcast(out.tobytes())
+
+
 def _deltas(spokes: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, cb, far, k, n, m, delta: the shingles that one of the sets of a and b has alone."""
+    """a, b, cb, far, n, m, delta: the shingles that one of the sets of a and b has alone."""
 
     def run(batches):
         for x in batches:
             n, m, delta = [], [], []
-            for s, t in zip(x.column(5), x.column(6), strict=True):
+            for s, t in zip(x.column(4), x.column(5), strict=True):
                 s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (s, t))
                 n.append(len(t))
                 m.append(len(s))
                 delta.append(np.setxor1d(s, t, assume_unique=True).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [*x.columns[:5], pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(delta, pa.list_(pa.int64()))],
-                ["a", "b", "cb", "far", "k", "n", "m", "delta"],
+                [*x.columns[:4], pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(delta, pa.list_(pa.int64()))],
+                ["a", "b", "cb", "far", "n", "m", "delta"],
             )
 
-    both = _with_sets(spokes, sets).select("a", "b", "cb", "far", "k", "sa", "sb")
-    return both.mapInArrow(run, "a long, b long, cb long, far boolean, k long, n long, m long, delta array<long>")
+    both = _with_sets(spokes, sets).select("a", "b", "cb", "far", "sa", "sb")
+    return both.mapInArrow(run, "a long, b long, cb long, far boolean, n long, m long, delta array<long>")
 
 
-def _prefixes(deltas: DataFrame, percent: int) -> DataFrame:
-    """The rarest shingles of each difference: far_len of them as the member that isn't linked to the
-    anchor (0 for others), any_len as its partner."""
+def _prefixes(deltas: DataFrame, frequencies, percent: int) -> DataFrame:
+    """The rarest shingles of each difference and their places in it, without those that no other member
+    has: far_len of them as the member that isn't linked to the anchor (0 for others), any_len as its partner."""
     p, q = 100 - percent, 100 + percent
 
     def run(batches):
+        seen = np.frombuffer(frequencies.value, np.uint32)
         for x in batches:
-            d, far_len, any_len, kept = [], [], [], []
-            for far, n, m, delta, often in zip(*(x.column(c) for c in (3, 4, 5, 6, 7)), strict=True):
+            d, far_len, any_len, places, kept = [], [], [], [], []
+            for a, far, n, m, delta in zip(*(x.column(c) for c in (0, 3, 4, 5, 6)), strict=True):
                 n, m, g = n.as_py(), m.as_py(), delta.values.to_numpy(zero_copy_only=False)
-                seen = {o["g"]: o["c"] for o in often.as_py() or ()}
-                g = g[np.lexsort((g, np.fromiter((seen.get(v, 0) for v in g.tolist()), np.int64, len(g))))] if seen else np.sort(g)
+                c = seen[_cells(a.as_py(), g)]
+                order = np.lexsort((g, c))
                 # the least overlaps that any partner can need, rounded up
                 y = max(1, -(-((m - n) * p + len(g) * q + 1) // (2 * q)))
                 f = max(1, -(-(len(g) * percent - n * p) // percent))
-                any_len.append(max(0, len(g) - y + 1))
-                far_len.append(max(0, len(g) - f + 1) if far.as_py() else 0)
+                ends = len(g) - f + 1 if far.as_py() else 0, len(g) - y + 1
+                pos = np.flatnonzero(c[order][: max(0, *ends)] > 1)
+                far_len.append(int(np.searchsorted(pos, ends[0])))
+                any_len.append(int(np.searchsorted(pos, ends[1])))
                 d.append(len(g))
-                kept.append(g[: max(any_len[-1], far_len[-1])])
+                places.append(pos.astype(np.int32))
+                kept.append(g[order][pos])
             yield pa.RecordBatch.from_arrays(
-                [*x.columns[:3], x.column(4), pa.array(d, pa.int64()), pa.array(far_len, pa.int32()), pa.array(any_len, pa.int32()), pa.array(kept, pa.list_(pa.int64()))],
-                ["a", "b", "cb", "n", "d", "far_len", "any_len", "delta"],
+                [*x.columns[:3], x.column(4), pa.array(d, pa.int64()), pa.array(far_len, pa.int32()), pa.array(any_len, pa.int32()), pa.array(places, pa.list_(pa.int32())), pa.array(kept, pa.list_(pa.int64()))],
+                ["a", "b", "cb", "n", "d", "far_len", "any_len", "pos", "delta"],
             )
 
-    return deltas.select("a", "b", "cb", "far", "n", "m", "delta", "often").mapInArrow(
-        run, "a long, b long, cb long, n long, d long, far_len int, any_len int, delta array<long>"
+    return deltas.select("a", "b", "cb", "far", "n", "m", "delta").mapInArrow(
+        run, "a long, b long, cb long, n long, d long, far_len int, any_len int, pos array<int>, delta array<long>"
     )

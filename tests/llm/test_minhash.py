@@ -84,6 +84,33 @@ def test_nulls_repeats_empty_and_clashing_names(spark):
     assert minhash.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_shingles_of_one_member_make_no_rows(spark, monkeypatch):
+    """Of a group whose members are mostly too far from one another, only what two members of an anchor
+    have beside it goes into the join; a long difference of their own adds no rows."""
+    rng = random.Random(17)
+    words = [f"w{i}" for i in range(3000)]
+    core = [rng.choice(words) for _ in range(60)]
+    rows = []
+    for i in range(150):
+        t = core.copy()
+        for j in rng.sample(range(60), rng.choice((1, 5, 6, 7))):
+            t[j] = rng.choice(words)
+        rows.append((i, " ".join(t)))
+    staged = {}
+    stage = minhash.stage_table
+    monkeypatch.setattr(minhash, "stage_table", lambda df, name: staged.setdefault((name, len(staged)), stage(df, name)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(minhash.near_duplicates(df, size=2)) == brute(rows, 2)
+    of = {name: t for (name, _), t in staged.items() if name in ("deltas", "prefixes")}
+    held = {}
+    for r in of["deltas"].collect():
+        for g in r.delta:
+            held.setdefault((r.a, g), set()).add(r.b)
+    sent = [(r.a, g) for r in of["prefixes"].collect() for g in r.delta[: max(r.far_len, r.any_len)]]
+    assert sent and any(len(m) == 1 for m in held.values())
+    assert sum(len(held[x]) == 1 for x in sent) <= 0.02 * len(sent)  # two shingles may share a count
+
+
 @pytest.mark.parametrize("n", [1, 5, 40, 3000])
 def test_densified_bins_agree_as_the_sets_do(n):
     import numpy as np
