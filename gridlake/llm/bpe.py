@@ -5,8 +5,9 @@ their token ids, into a minimal acyclic automaton (shared prefixes and suffixes)
 outputs addressed by perfect hashing: every arc holds how many words come before it. The compiled
 file is shipped with SparkContext.addFile and memory-mapped by each Python worker, so workers of one
 machine share its pages. A piece that the automaton lacks is cut by the tokenizer's pattern and
-merged exactly by rank. A bounded per-worker memo stands before both; when it is full, pieces of the
-lexicon stay in it and the others go.
+merged exactly by rank; such pieces that follow one another are merged in one call. A bounded
+per-worker memo holds the ids of the lexicon's pieces and which pieces the lexicon lacks; when it is full,
+pieces of the lexicon stay in it and the others go.
 
 Null texts count as empty; an empty text has no ids. Long texts are encoded whole. Repeated rows give
 repeated results; extra columns are ignored by the digests.
@@ -44,6 +45,7 @@ _WHITE = frozenset(re.findall(f"[{_SPACE}]", "".join(map(chr, range(0x3001)))))
 LONG_RUN = 50_000  # white space that the merging library's cutter, which keeps a stack, doesn't get
 MEMO_ENTRIES, COUNTED = 65_536, 250_000  # of pieces of at most LONGEST_LEXICON_WORD characters, so in bounded memory
 LONGEST_LEXICON_WORD = 64
+MARKS = 1 << 19
 
 
 def _byte_chars() -> dict[str, int]:
@@ -178,6 +180,18 @@ class Lexicon:
             view[a : a + n].cast("i") for a, n in spans[2:]
         )
         self.states = len(self.final)
+        self.marks = bytearray(MARKS)  # most words that the lexicon lacks are known by one look here
+        for w in self.words():
+            self.marks[hash(w) % MARKS] = 1
+
+    def words(self):
+        todo = [(self.root, b"")]
+        while todo:
+            s, w = todo.pop()
+            if self.final[s]:
+                yield w
+            for at in range(self.first[s], self.first[s + 1]):
+                todo.append((self.target[at], w + _ONE[self.buf[self.labels_at + at]]))
 
     @classmethod
     def open(cls, path: str) -> Lexicon:
@@ -185,6 +199,8 @@ class Lexicon:
             return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
     def get(self, word: bytes) -> list[int] | None:
+        if not self.marks[hash(word) % MARKS]:
+            return None
         s, n, base, find = self.root, 0, self.labels_at, self.buf.find
         for b in word:
             at = find(_ONE[b], base + self.first[s], base + self.first[s + 1])
@@ -205,8 +221,13 @@ def as_written(piece: str) -> str:
     return piece[1:] if piece[:1] == " " else piece if piece[:1] == "\n" else " " + piece
 
 
+#: Instead of ids: the lexicon lacks the piece.
+_ABSENT = object()
+
+
 class Encoder(dict):
-    """Text to ids and back; a dict from pieces to their ids, None where a piece needs its context."""
+    """Text to ids and back; a dict from pieces to their ids, None where a piece needs its context. With a
+    lexicon, _ABSENT for the pieces that it lacks."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
         super().__init__()
@@ -222,7 +243,10 @@ class Encoder(dict):
             ids = None
         else:
             known = self.lexicon.get(w.encode()) if self.lexicon else None
-            ids = tuple(self.v.merge(w) if known is None else known)
+            if known is None:
+                ids = _ABSENT if self.lexicon else tuple(self.v.merge(w))
+            else:
+                ids = tuple(known)
             if known is not None and len(self.frequent) < MEMO_ENTRIES // 2:
                 self.frequent[piece] = ids
         if len(piece) <= LONGEST_LEXICON_WORD:
@@ -239,28 +263,41 @@ class Encoder(dict):
             head, *pieces = text.replace("\n", " \n").split(" ")
             ids = [self[p] for p in pieces]
             if None not in ids:
-                return [*self.v.merge(head), *chain.from_iterable(ids)]
+                if _ABSENT not in ids:
+                    return [*self.v.merge(head), *chain.from_iterable(ids)]
+                out, rest = [], head  # rest: what is merged before the next piece of the lexicon
+                for p, x in zip(pieces, ids, strict=True):
+                    if x is _ABSENT:
+                        rest += p if p[0] == "\n" else " " + p
+                    else:
+                        if rest:
+                            out += self.v.merge(rest)
+                            rest = ""
+                        out += x
+                return out + self.v.merge(rest) if rest else out
         return self._spaced(text)
 
     def _spaced(self, text: str) -> list[int]:
         """Any white space: all of a run but its last character is cut off before that character joins the
         word that follows; at the end of the text the run is whole."""
         out: list[int] = []
+        start = 0  # of what is merged before the next piece of the lexicon
         for m in _RUNS.finditer(text):
             space, body = (m[3], "") if m[3] else (m[1], m[2])
-            if len(space) > 1 or not body:
-                run = space[:-1] if body else space
-                out += self.v.merge(run)
-            if body:
-                if not space:
-                    out += self.v.merge(body)
-                    continue
-                last = space[-1]
-                ids = self[body if last == " " else last + body if last == "\n" else " " + last + body]
-                if ids is None:
-                    return self.v.merge(text)
+            if not space or not body:
+                continue
+            last = space[-1]
+            ids = self[body if last == " " else last + body if last == "\n" else " " + last + body]
+            if ids is None:
+                return self.v.merge(text)
+            if ids is not _ABSENT:
+                if start < m.start():
+                    out += self.v.merge(text[start : m.start()])
+                if len(space) > 1:
+                    out += self.v.merge(space[:-1])
                 out += ids
-        return out
+                start = m.end()
+        return out + self.v.merge(text[start:]) if start < len(text) else out
 
     def encode(self, text: str) -> list[int]:
         if self.v.cut is None or not any(s in text for s in self.v.special):

@@ -142,6 +142,40 @@ def test_lexicon_words_stay_in_a_full_memo(encoder, monkeypatch):
     assert lookups.count(b" often") == 1 and len(own) <= 51
 
 
+@pytest.mark.parametrize("text", ["one rare two rare often three\nrare often\nfour five", "rare  rare\n\n\trare often \n rare\tx  often  rare \n", "it's rare's often'll\n'd rare\n\n'd  's"])
+def test_pieces_that_the_lexicon_lacks_are_merged_together(library, encoder, text):
+    calls = []
+
+    class Words:
+        def get(self, w):
+            return encoder.v.merge(w.decode()) if w == b" often" else None
+
+    class Counted(bpe.Vocabulary):
+        def merge(self, t):
+            calls.append(t)
+            return super().merge(t)
+
+    own = bpe.Encoder(Counted(TOKENIZER), Words())
+    for t in (text, " " + text, text * 3):
+        assert own.encode(t) == library.encode(t, add_special_tokens=False).ids
+    calls.clear()
+    own.encode(text)
+    assert len(calls) <= 2 * text.split().count("often") + 1
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from([" ", "  ", "\n", " \n", "\t", "\x1f", "\u3000", "often", "rare", "'s", "1", "é", "."]), max_size=25))
+def test_any_text_with_a_lexicon(parts):
+    library, encoder = _pair()
+
+    class Words:
+        def get(self, w):
+            return encoder.v.merge(w.decode()) if b"often" in w else None
+
+    text = "".join(parts)
+    assert bpe.Encoder(encoder.v, Words()).encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_lexicon_is_minimal_and_exact(tmp_path):
     rng = random.Random(1)
     words = {bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 9))): [rng.randrange(50_000) for _ in range(rng.randrange(1, 4))] for _ in range(2_000)}
@@ -157,6 +191,22 @@ def test_lexicon_is_minimal_and_exact(tmp_path):
     assert lexicon.states == len(suffixes)  # one state for each set of continuations
 
 
+def test_most_absent_words_are_known_without_a_walk():
+    rng = random.Random(2)
+    words = {b" w%d" % i: [i] for i in range(20_000)}
+    lexicon = bpe.Lexicon(bpe.Lexicon.compile(words))
+    assert set(lexicon.words()) == set(words) and all(lexicon.get(w) == ids for w, ids in words.items())
+    lexicon.root = None  # a walk fails now
+    absent = [b" x%d" % rng.randrange(1 << 40) for _ in range(2_000)]
+    walked = 0
+    for w in absent:
+        try:
+            assert lexicon.get(w) is None
+        except TypeError:
+            walked += 1
+    assert walked < 200
+
+
 def test_nulls_repeats_empty_tables_and_ids(spark, library):
     rows = [(1, "some words here, some words there", "x"), (1, "some words here, some words there", "x"), (None, None, None), (2, "", "y")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string").withColumn("ids", F.lit(3))
