@@ -1,6 +1,12 @@
-"""Maximum inner product search by score-aware quantisation, four-bit table scans and exact reranking.
+"""Maximum inner product search, exact by matrix products, or by score-aware quantisation, four-bit table scans
+and exact reranking.
 
-Vectors are cut into pieces of PIECE dimensions, each coded by one of 16 centres (four bits). Codes and
+The exact way is the default, and that of the query: each task multiplies its distinct vectors with a block of
+queries, and whatever the products' rounding errors leave in doubt is scored again, row by row. A task holds k
+rows of each query of the block, and the k-th score so far excludes nearly all that comes later.
+
+With a number for rerank the search is approximate: it misses neighbours where many vectors differ by less than
+the codes can tell. Vectors are cut into pieces of PIECE dimensions, each coded by one of 16 centres (four bits). Codes and
 centres minimise the anisotropic loss: the residual's part parallel to the vector, which shifts the
 scores of the queries that matter, weighs ETA times its orthogonal part. Centres are fitted on a sample
 of at most SAMPLE distinct vectors, those of least hash; every row is indexed. The index is a table of
@@ -37,8 +43,10 @@ PIECE, CENTRES = 2, 16
 ETA, ROUNDS = 4.0, 12
 SAMPLE = 20_000
 QUERY_BLOCK = 2_048
+EXACT_ROWS = 1_024  # of a product with the queries of a block
 RERANK = 200
 SCAN_ROWS = 2_048
+EPS, TINY = np.finfo(np.float64).eps, np.finfo(np.float64).tiny
 
 
 def fit_centres(x: np.ndarray, seed: int = 5) -> np.ndarray:
@@ -146,8 +154,9 @@ def _distinct(good: DataFrame, keep: int) -> DataFrame:
     return parts.groupBy("key").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, keep).alias("ids"))
 
 
-def search(base: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", rerank: int = RERANK) -> DataFrame:
-    """query_id, rank (from 1), vec_id and score of each query's k nearest rows of base but itself."""
+def search(base: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", rerank: int | None = None) -> DataFrame:
+    """query_id, rank (from 1), vec_id and score of each query's k nearest rows of base but itself. rerank: the
+    least number of entries that the approximate search scores exactly; None for the exact search."""
     floats = all(df.select(vec_col).dtypes[0][1] == "array<float>" for df in (base, queries))
     kind = "float" if floats else "double"
     good, asked = _good(base, id_col, vec_col, kind), _good(queries, id_col, vec_col, kind)
@@ -157,11 +166,46 @@ def search(base: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_
     return result
 
 
-def _search(good: DataFrame, asked: DataFrame, dim: int, kind: np.dtype, k: int, rerank: int) -> DataFrame:
+def _search(good: DataFrame, asked: DataFrame, dim: int, kind: np.dtype, k: int, rerank: int | None) -> DataFrame:
     """The same among vectors of one length."""
-    spark = good.sparkSession
-    even = -(-dim // PIECE) * PIECE
+    spark, schema = good.sparkSession, "query_id long, rank int, vec_id long, score double"
     entries = stage_table(_distinct(good, k + 1), "vectors")
+    size, find = _exact(entries, dim, kind, k) if rerank is None else _approximate(entries, dim, kind, rerank)
+
+    def run(block) -> DataFrame:
+        near = find([q for q, _ in block], np.asarray([v for _, v in block], kind))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    out, block = [], []
+    for r in asked.toLocalIterator():
+        block.append((r.vec_id, r.v))
+        if len(block) == size:
+            out.append(stage_table(run(block), "nearest"))
+            block = []
+    if block or not out:
+        out.append(run(block) if block else spark.createDataFrame([], schema))
+    result = out[0]
+    for more in out[1:]:
+        result = result.union(more)
+    return result
+
+
+def _exact(entries: DataFrame, dim: int, kind: np.dtype, k: int):
+    """How many queries a block has, and what finds candidates of a block, among them each query's k nearest."""
+    spark = entries.sparkSession
+
+    def find(names, q) -> DataFrame:
+        shared = spark.sparkContext.broadcast((np.asarray(names, np.int64), q))
+        return entries.mapInArrow(_exact_scan(shared, dim, kind, k), "query_id long, vec_id long, score double")
+
+    return QUERY_BLOCK, find
+
+
+def _approximate(entries: DataFrame, dim: int, kind: np.dtype, rerank: int):
+    """The same for the candidates that the codes find."""
+    spark = entries.sparkSession
+    even = -(-dim // PIECE) * PIECE
     sample = entries.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("key").toArrow().column(0).to_pylist()
 
     def rows_of(keys) -> np.ndarray:
@@ -180,30 +224,65 @@ def _search(good: DataFrame, asked: DataFrame, dim: int, kind: np.dtype, k: int,
     indexed = stage_table(indexed.withColumn("entry", F.monotonically_increasing_id()), "vector-index")  # numbered once, as written
     discard(entries)
     rerank = depth(indexed.count(), rerank)
-    size = max(1, QUERY_BLOCK * RERANK // rerank)  # lists of a block stay of one size
-    out, block = [], []
 
-    def run(block) -> DataFrame:
-        shared = spark.sparkContext.broadcast(([q for q, _ in block], np.asarray([v for _, v in block], kind), centres))
+    def find(names, q) -> DataFrame:
+        shared = spark.sparkContext.broadcast((names, q, centres))
         near = indexed.select("entry", "code").mapInArrow(_scan(shared, rerank, even), "query int, entry long, approx float")
         best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("approx"), "entry"))
         near = near.withColumn("r", best).where(F.col("r") <= rerank).select("query", "entry")
         near = near.join(indexed.select("entry", "key", "ids"), "entry").select("query", "key", "ids")
-        exact = near.mapInArrow(_score(shared), "query_id long, vec_id long, score double")
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        return exact.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return near.mapInArrow(_score(shared), "query_id long, vec_id long, score double")
 
-    for r in asked.toLocalIterator():
-        block.append((r.vec_id, r.v))
-        if len(block) == size:
-            out.append(stage_table(run(block), "nearest"))
-            block = []
-    if block or not out:
-        out.append(run(block) if block else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double"))
-    result = out[0]
-    for more in out[1:]:
-        result = result.union(more)
-    return result
+    return max(1, QUERY_BLOCK * RERANK // rerank), find  # lists of a block stay of one size
+
+
+def _exact_scan(shared, dim: int, kind: np.dtype, k: int):
+    def run(batches):
+        names, q = shared.value
+        wide, n = q.astype(np.float64), len(q)
+        by_name = np.argsort(names, kind="stable")
+        which, ids, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)  # k rows of each query at most
+        least = np.full(n, -np.inf)  # the k-th score of each query so far
+        for b in batches:
+            for a in range(0, b.num_rows, EXACT_ROWS):
+                keys, owners = (b.column(i).slice(a, EXACT_ROWS) for i in range(2))
+                x = np.frombuffer(b"".join(keys.to_pylist()), kind).reshape(-1, dim)
+                count = owners.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                own, first = owners.flatten().to_numpy(zero_copy_only=False), np.cumsum(count) - count
+                with np.errstate(all="ignore"):
+                    approx = x.astype(np.float64) @ wide.T  # NaN, where sums overflow, counts as the greatest
+                    error = 4 * (dim + 2) * (EPS * np.abs(x).max().astype(np.float64) * np.abs(wide).sum(1) + TINY)
+                alone = np.flatnonzero(own[first] == own[first + count - 1])  # ids are sorted: the entries of one id
+                lo, hi = (np.searchsorted(names[by_name], own[first[alone]], side) for side in ("left", "right"))
+                for e in np.flatnonzero(hi > lo):
+                    approx[alone[e], by_name[lo[e] : hi[e]]] = -np.inf  # the query itself
+                with np.errstate(all="ignore"):
+                    bound = least - error
+                    if len(x) > k:
+                        many = np.flatnonzero((~(approx < bound)).sum(0) > 4 * k)
+                        kth = np.partition(approx[:, many], len(x) - k, axis=0)[len(x) - k]
+                        bound[many] = np.where(np.isnan(kth), -np.inf, np.fmax(bound[many], kth - 2 * error[many]))
+                    cand, of = np.nonzero(~(approx < bound))
+                for part in range(0, len(cand), 1 << 16):
+                    c, o = cand[part : part + (1 << 16)], of[part : part + (1 << 16)]
+                    with np.errstate(all="ignore"):
+                        s = inner_products(q[o], x[c])
+                    each = np.repeat(np.arange(len(c)), count[c])
+                    at = first[c][each] + np.arange(len(each)) - np.repeat(np.cumsum(count[c]) - count[c], count[c])
+                    other = own[at] != names[o[each]]
+                    which = np.concatenate([which, o[each][other]])
+                    ids, score = np.concatenate([ids, own[at][other]]), np.concatenate([score, s[each][other]])
+                    order = np.lexsort((ids, -score, ~np.isnan(score), which))
+                    which, ids, score = which[order], ids[order], score[order]
+                    place = np.arange(len(which)) - np.searchsorted(which, which)
+                    full = which[place == k - 1], score[place == k - 1]
+                    least[full[0]] = full[1]
+                    which, ids, score = (v[place < k] for v in (which, ids, score))
+        for a in range(0, len(which), 1 << 14):
+            part = slice(a, a + (1 << 14))
+            yield pa.RecordBatch.from_arrays([pa.array(names[which[part]]), pa.array(ids[part]), pa.array(score[part])], ["query_id", "vec_id", "score"])
+
+    return run
 
 
 def _scan(shared, rerank: int, even: int):

@@ -107,3 +107,24 @@ def test_recall_on_many_vectors():
             kept = np.argpartition(-approx[:, i], ann.depth(n))[: ann.depth(n)]
             hits += len(want & set(kept[np.argsort(-exact[kept, i])[:20]].tolist()))
         assert hits / (20 * len(ask)) >= 0.9
+
+
+def test_exact_where_codes_cannot_tell(spark):
+    """Tight clusters, lengths that differ widely, whole numbers with many equal scores, one id on several vectors."""
+    rng = np.random.default_rng(23)
+    tight = rng.normal(size=(3, 16))[rng.integers(0, 3, 3_000)] + 1e-4 * rng.normal(size=(3_000, 16))
+    long = rng.normal(size=(3_000, 16)) * rng.lognormal(0, 3, (3_000, 1))
+    whole = rng.integers(-1, 2, (3_000, 6)).astype(float)
+    for x in (tight, long, whole):
+        rows = [(i, [float(v) for v in row]) for i, row in enumerate(x.astype(np.float32)) if row.any()]
+        rows.append((40, [float(v) for v in x[1].astype(np.float32) + 1]))
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+        ids, base = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+        want = {}
+        for q in (i for i, _ in rows if i % 200 == 40 and i != 40):
+            s = ann.inner_products(np.broadcast_to(base[ids == q][0], base.shape), base)
+            want[q] = [(int(ids[i]), s[i]) for i in np.lexsort((ids, -s)) if ids[i] != q][:20]
+        got = {}
+        for r in ann.search(df, df.where("vec_id % 200 = 40 and vec_id <> 40"), k=20).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert got == want
