@@ -58,3 +58,31 @@ def test_queries_use_the_trained_palette(spark, sf_dir):
 
 def test_no_pixels_no_palette(spark):
     assert L.generate(spark.createDataFrame([], "c1 double, c2 double, c3 double"), 5, 5, 8).count() == 0
+
+
+def test_few_colours_need_the_whole_formula(monkeypatch):
+    """The nearest colour is that of all distances, in any part of Lab, with equal colours and grey ones."""
+    rng = np.random.default_rng(8)
+    made, whole = [], L._delta_e2000
+    monkeypatch.setattr(L, "_delta_e2000", lambda a, b: made.append(np.broadcast_shapes(a.shape, b.shape)[:-1]) or whole(a, b))
+    for lo, hi in (((0, -60, -60), (100, 60, 60)), ((0, 0, 0), (1, 1, 1)), ((40, -1, -127), (60, 1, -100)), ((-5, -127, -127), (140, 127, 127))):
+        px, palette = np.round(rng.uniform(lo, hi, (3_000, 3)), 3), np.round(rng.uniform(lo, hi, (36, 3)), 3)
+        palette[7], palette[9, 1:], px[:36] = palette[3], 0, palette
+        want = np.round(L.delta_e2000(px, palette), 6).argmin(-1)
+        made.clear()
+        assert (L.nearest(px, palette, True) == want).all()
+    line = np.linspace((0, -20, -20), (100, 20, 20), 36)
+    made.clear()
+    L.nearest(np.clip(line[rng.integers(0, 36, 3_000)] + rng.normal(0, 5, (3_000, 3)), (0, -60, -60), (100, 60, 60)), line, True)
+    assert sum(int(np.prod(k)) for k in made) < 0.7 * 3_000 * 36
+
+
+def test_equal_pixels_are_looked_at_once(spark, monkeypatch):
+    """Pixels that are there a hundred times give the palette of the rule, from as few rows as there are colours."""
+    px = np.round(np.random.default_rng(12).uniform(0, 255, (30, 3)), 1)
+    many = np.concatenate([np.repeat(px, 100, 0), px[:7]])
+    seen, sums = [], L._sums
+    monkeypatch.setattr(L, "_sums", lambda p, *more: seen.append(p.count()) or sums(p, *more))
+    got = sorted(L.generate(spark.createDataFrame(many.tolist(), "c1 double, c2 double, c3 double"), 2, 3, 4).collect())
+    assert np.allclose([r[1:] for r in got], brute(many, 2, 3, 4, False, lambda a, b: float(((a - b) ** 2).sum())), atol=1e-6)
+    assert seen == [30] * 4
